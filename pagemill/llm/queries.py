@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import minhash
+from pagemill.llm import knnquality, minhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,9 +20,22 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labelled rows that are not held out."""
+    found = toxicity.toxic_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.selectExpr("doc_id", "held_out", "score", "predicted", "n_tokens", "size(segments) AS n_passages")
+
+
+def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by votes of its nearest labelled neighbours."""
+    return knnquality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash": op1_minhash,
+        "op4_toxicity": op4_toxicity,
+        "op10_knn_quality": op10_knn_quality,
     }
 
 
