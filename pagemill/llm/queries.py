@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import knnquality, minhash, toxicity
+from pagemill.llm import knnquality, minhash, mixing, packing, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,16 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "held_out", "score", "predicted", "n_tokens", "size(segments) AS n_passages")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its sampling probability and decision after raking to source, language and topic shares."""
+    return mixing.mix_documents(_table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token pieces with their place in sequences of 1024 tokens."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
+
+
 def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by votes of its nearest labelled neighbours."""
     return knnquality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -35,6 +45,8 @@ def queries() -> dict[str, Query]:
     return {
         "op1_minhash": op1_minhash,
         "op4_toxicity": op4_toxicity,
+        "op5_mixing": op5_mixing,
+        "op7_packing": op7_packing,
         "op10_knn_quality": op10_knn_quality,
     }
 
