@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import knnquality, minhash, mixing, packing, toxicity
+from pagemill.llm import knnquality, minhash, mixing, packing, suffixdedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the bytes of repeated 200-byte strings."""
+    return suffixdedup.remove_repeats(_table(spark, sf_dir, "documents"), length=200).drop("spans")
+
+
 def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by votes of its nearest labelled neighbours."""
     return knnquality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -47,6 +52,7 @@ def queries() -> dict[str, Query]:
         "op4_toxicity": op4_toxicity,
         "op5_mixing": op5_mixing,
         "op7_packing": op7_packing,
+        "op8_suffix_array": op8_suffix_array,
         "op10_knn_quality": op10_knn_quality,
     }
 
