@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagemill.llm import knnquality, minhash, mixing, packing, suffixdedup, toxicity
+from pagemill.llm import imatch, knnquality, linededup, minhash, mixing, packing, suffixdedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +21,11 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
 
 
+def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and how alike they are."""
+    return imatch.edit_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labelled rows that are not held out."""
     found = toxicity.toxic_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -31,6 +37,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without later copies of repeated line runs."""
+    found = linededup.remove_repeated_lines(_table(spark, sf_dir, "documents"), min_lines=2, min_chars=200)
+    return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token pieces with their place in sequences of 1024 tokens."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
@@ -49,8 +61,10 @@ def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash": op1_minhash,
+        "op2_imatch": op2_imatch,
         "op4_toxicity": op4_toxicity,
         "op5_mixing": op5_mixing,
+        "op6_line_dedup": op6_line_dedup,
         "op7_packing": op7_packing,
         "op8_suffix_array": op8_suffix_array,
         "op10_knn_quality": op10_knn_quality,
@@ -58,4 +72,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_dedup": linededup.oracle_sql(2, 200)}
