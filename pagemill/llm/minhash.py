@@ -6,8 +6,8 @@ serve 66 tables. Two documents with similarity J meet in a table when at least t
 (agreement 0.8**3 a sketch) that fails for 1 pair in 400, at 0.85 for 1 in 5,000.
 
 Copies with the same shingle set are one representative before any key is made. Within a bucket no pairs are expanded: every
-member is tested against a centre, linked ones become one component, and only buckets that still hold two components go on,
-with other centres and in the end with all pairs across components.
+member is tested against a centre, linked ones become one component, and only buckets that still hold two components go on:
+with another centre, and in the end block by block, where every pair across components is compared in a task and only links leave it.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import mix, shingle_sets, stored, text_chunks
@@ -71,18 +71,73 @@ def _confirm(k: int, percent: int):
     return confirm
 
 
-def _pairs_for(members: DataFrame, round_no: int) -> DataFrame:
-    """Pairs (a < b) to test in buckets with more than one component; sizes that rule a link out are left away."""
+def _star_pairs(members: DataFrame, round_no: int) -> DataFrame:
+    """Pairs (a < b) of a bucket's centre with each member in another component; the centre changes with the round."""
     mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     left = members.join(mixed, "key")
-    if round_no < 3:
-        order = F.struct(F.when(F.lit(round_no == 0), F.lit(0).cast("long")).otherwise(F.xxhash64("rep", "key", F.lit(round_no))).alias("o"), F.col("rep"), F.col("n"), F.col("component"))
-        centre = left.groupBy("key").agg(F.min(order).alias("c")).select("key", F.col("c.rep").alias("rep2"), F.col("c.n").alias("n2"), F.col("c.component").alias("component2"))
-        paired = left.join(centre, "key").where("component != component2")
-    else:
-        other = left.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-        paired = left.join(other, "key").where("component < component2")
-    return paired.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"), "n", "n2")
+    order = F.struct((F.xxhash64("rep", "key", F.lit(round_no)) * F.lit(min(round_no, 1))).alias("o"), F.col("rep"), F.col("n"), F.col("component"))
+    centre = left.groupBy("key").agg(F.min(order).alias("c")).select("key", F.col("c.rep").alias("rep2"), F.col("c.n").alias("n2"), F.col("c.component").alias("component2"))
+    return left.join(centre, "key").where("component != component2").select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"), "n", "n2")
+
+
+def _compare_blocks(k: int, percent: int):
+    def sets_of(side: pa.Array) -> list[np.ndarray]:
+        return [s for _, _, data, offsets in text_chunks(side.field("text")) for s in shingle_sets(data, offsets, k)]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links across components within a pair of blocks; of each document's links, the ones to other components' first."""
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one, two = (batch.column(name)[row].values for name in ("one", "two"))
+                same = batch.column("same")[row].as_py()
+                x, y = sets_of(one), None if same else sets_of(two)
+                y = x if same else y
+                flat = np.concatenate(x if same else x + y)
+                doc = np.repeat(np.arange(len(x) if same else len(x) + len(y)), [len(s) for s in (x if same else x + y)])
+                values, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+                use = count[column] > 1
+                doc, column = doc[use], np.cumsum(count > 1)[column[use]] - 1
+                order = np.argsort(column, kind="stable")
+                doc, column = doc[order], column[order]
+                both = np.zeros((len(x), len(y)), np.float32)
+                for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+                    i, j = np.searchsorted(column, [lo, lo + 4096])
+                    part = np.zeros((int(doc.max()) + 1 if same else len(x) + len(y), min(4096, int(column[-1]) + 1 - lo)), np.float32)
+                    part[doc[i:j], column[i:j] - lo] = 1
+                    full = np.zeros((len(x) if same else len(x) + len(y), part.shape[1]), np.float32)
+                    full[: len(part)] = part
+                    both += full[: len(x)] @ (full if same else full[len(x) :]).T
+                n1, n2 = np.array([len(s) for s in x], float), np.array([len(s) for s in y], float)
+                linked = (both > 0) & (100 * both >= percent * (n1[:, None] + n2[None, :] - both))
+                c1, c2 = (side.field("component").to_numpy() for side in (one, two))
+                linked &= c1[:, None] != c2[None, :]
+                r1, r2 = (side.field("rep").to_numpy() for side in (one, two))
+                at, to = np.nonzero(linked)
+                # One link for each document and component is enough to join them.
+                keys = np.unique(np.stack([r1[at], c2[to], r2[to]], axis=1), axis=0) if len(at) else np.zeros((0, 3), np.int64)
+                first = np.ones(len(keys), bool)
+                first[1:] = (keys[1:, :2] != keys[:-1, :2]).any(axis=1)
+                keys = keys[first]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(keys[:, 0], keys[:, 2])), pa.array(np.maximum(keys[:, 0], keys[:, 2]))], names=["a", "b"])
+
+    return compare
+
+
+def _remaining_links(members: DataFrame, texts: DataFrame, k: int, percent: int, block_shingles: int = 100_000, block_rows: int = 512) -> DataFrame:
+    """All links across components that buckets allow: members that share buckets form a cluster, clusters are cut into blocks of
+    bounded size, and pairs of blocks are compared whole unless both hold one and the same component. Only links leave a task."""
+    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("first")).where("lo < hi")
+    left = stored(members.join(mixed.select("key", "first"), "key").groupBy("rep", "n", "component", "first").count().drop("count"))
+    clusters = connected_components(left.select("first", "rep"), "first", "rep")
+    nodes = left.select("rep", "n", "component").distinct().join(clusters.select(F.col("id").alias("rep"), F.col("component").alias("cluster")), "rep")
+    before = Window.partitionBy("cluster").orderBy("component", "rep").rowsBetween(Window.unboundedPreceding, 0)
+    block = F.greatest((F.sum("n").over(before) / block_shingles).cast("long"), (F.count("*").over(before) / block_rows).cast("long"))
+    nodes = nodes.withColumn("block", block).join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    blocks = stored(nodes.groupBy("cluster", "block").agg(F.collect_list(F.struct("rep", "component", "text")).alias("rows"), F.min("component").alias("lo"), F.max("component").alias("hi")))
+    one = blocks.select("cluster", F.col("block").alias("b1"), F.col("rows").alias("one"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
+    two = blocks.select("cluster", F.col("block").alias("b2"), F.col("rows").alias("two"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    pairs = one.join(two, "cluster").where("b1 <= b2 and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)")
+    return pairs.select("one", "two", (F.col("b1") == F.col("b2")).alias("same")).mapInArrow(_compare_blocks(k, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, collections: int = 12, width: int = 3) -> DataFrame:
@@ -102,30 +157,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
     buckets = stored(keys.join(shared, "key"))
     texts = stored(given.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    confirm, edges, tested = _confirm(shingle_words, percent), None, None
-    component: Column = F.col("rep")
-    members = buckets.withColumn("component", component)
-    for round_no in range(4):
-        pairs = _pairs_for(members, round_no).where("5 * least(n, n2) >= 4 * greatest(n, n2)" if percent == 80 else f"100 * least(n, n2) >= {percent} * greatest(n, n2)").select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        if pairs.isEmpty():
-            if round_no in (0, 3):
-                break
-            continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
+    confirm, edges = _confirm(shingle_words, percent), None
+    members = buckets.withColumn("component", F.col("rep"))
+    for round_no in range(2):
+        pairs = _star_pairs(members, round_no).where(f"100 * least(n, n2) >= {percent} * greatest(n, n2)").select("a", "b").distinct()
         with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         with_both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
         found = stored(with_both.mapInArrow(confirm, "a long, b long"))
         edges = found if edges is None else edges.unionByName(found)
         labels = stored(connected_components(edges))
         members = buckets.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    edges = edges.unionByName(_remaining_links(members, texts, shingle_words, percent))
+    labels = connected_components(edges)
     whole = reps.select("n", "f1", "f2", "rep")
-    if edges is None:
-        whole = whole.withColumn("component", F.col("rep"))
-    else:
-        whole = whole.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    whole = whole.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     out = sketch.drop("halves").join(whole.drop("rep"), group, "left")
     linked = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), linked.alias("component_id"), F.coalesce(F.col("doc_id") == linked, F.lit(True)).alias("kept"))
