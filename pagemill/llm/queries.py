@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import imatch, knnquality, linededup, minhash, mixing, packing, suffixdedup, toxicity
+from pagemill.llm import covertree, imatch, knnquality, linededup, minhash, mixing, packing, suffixdedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,11 @@ def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edit_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all vectors at cosine 0.9."""
+    return covertree.near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labelled rows that are not held out."""
     found = toxicity.toxic_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -62,6 +67,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_minhash": op1_minhash,
         "op2_imatch": op2_imatch,
+        "op3_cover_tree": op3_cover_tree,
         "op4_toxicity": op4_toxicity,
         "op5_mixing": op5_mixing,
         "op6_line_dedup": op6_line_dedup,
