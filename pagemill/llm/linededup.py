@@ -57,15 +57,16 @@ def remove_repeated_lines(docs: DataFrame, min_lines: int = 2, min_chars: int =
     found = repeated_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), min_lines, min_chars)
     runs = found.withColumn("_new", (F.col("seq") != F.coalesce(F.lag("seq").over(Window.partitionBy("doc_id").orderBy("seq")) + 1, F.lit(-1))).cast("int"))
     gone = runs.groupBy(F.col("doc_id").cast("long").alias("_doc")).agg(F.collect_list("line").alias("_gone"), F.sum("_new").alias("_runs"))
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
-    joined = docs.select(*columns).join(gone, F.col("doc_id").cast("long") == F.col("_doc"), "left")
-    joined = joined.withColumn("_lines", F.split(F.col("text").cast("string"), "\n", -1))
-    n_lines = F.coalesce(F.size(F.filter("_lines", lambda t: F.trim(t) != "")), F.lit(0))
-    joined = joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(n_lines))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    joined = whole.join(gone, F.col("row.doc_id").cast("long") == F.col("_doc"), "left")
+    joined = joined.withColumn("lines", F.split(F.col("row.text").cast("string"), "\n", -1))
+    n_lines = F.coalesce(F.size(F.filter("lines", lambda t: F.trim(t) != "")), F.lit(0))
+    joined = joined.withColumn("n_lines", F.when(F.col("row.text").isNull(), 0).otherwise(n_lines))
     joined = joined.withColumn("n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get("_lines", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).when(F.col("n_removed") == F.col("n_lines"), "").otherwise(F.array_join(kept, "\n"))
-    return joined.select(*(text.alias("text") if c == "text" else F.col(c) for c in columns), "n_lines", "n_removed", F.coalesce("_runs", F.lit(0)).cast("int").alias("n_runs"))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "_gone"), lambda i: F.get("lines", i))
+    text = F.when(F.col("_gone").isNull(), F.col("row.text")).when(F.col("n_removed") == F.col("n_lines"), "").otherwise(F.array_join(kept, "\n"))
+    given = [(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c.lower() not in ("n_lines", "n_removed", "n_runs")]
+    return joined.select(*given, "n_lines", "n_removed", F.coalesce("_runs", F.lit(0)).cast("int").alias("n_runs"))
 
 
 def oracle_sql(min_lines: int = 2, min_chars: int = 200) -> str:
