@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import covertree, imatch, knnquality, linededup, minhash, mixing, packing, suffixdedup, toxicity
+from pagemill.llm import chaining, covertree, imatch, knnquality, linededup, minhash, mixing, packing, suffixdedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,11 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.remove_repeats(_table(spark, sf_dir, "documents"), length=200).drop("spans")
 
 
+def op9_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of at least 50 words that documents share at identity 0.8 or more."""
+    return chaining.shared_passages(_table(spark, sf_dir, "documents"), k=5, min_words=50, identity=0.8)
+
+
 def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by votes of its nearest labelled neighbours."""
     return knnquality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -73,6 +78,7 @@ def queries() -> dict[str, Query]:
         "op6_line_dedup": op6_line_dedup,
         "op7_packing": op7_packing,
         "op8_suffix_array": op8_suffix_array,
+        "op9_chaining": op9_chaining,
         "op10_knn_quality": op10_knn_quality,
     }
 
