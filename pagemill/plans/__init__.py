@@ -1 +1,5 @@
-"""plans of the document engine."""
+"""Registered queries; importing this package registers all of them."""
+
+from pagemill.plans import audit_queries, page_queries, registry, report_queries, search_queries
+
+__all__ = ["audit_queries", "page_queries", "registry", "report_queries", "search_queries"]
