@@ -1,6 +1,6 @@
 """Toxic passages by maximum-scoring segment search over token log-odds, aggregated by extreme-value calibration.
 
-1. Log-odds. Over all labelled training rows, the number of toxic and of other texts with a token gets an informative Dirichlet
+1. Log-odds. Over the labelled training rows, at most about `train_rows` of them so that they can be sent to the texts, the number of toxic and of other texts with a token gets an informative Dirichlet
    prior (the token's share of both, `prior_mass` pseudo-tokens); the log-odds ratio and its standard error give a z-score.
    The lexicon keeps tokens with |z| >= min_z, at most `lexicon_limit` of them by |z|: that bounds what is sent to tasks. All
    other tokens share the log-odds of their summed counts.
@@ -230,7 +230,13 @@ def fold_of(mod: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
 
 
-def toxic_scores(docs: DataFrame, labels: DataFrame, held_out_mod: int = 4, held_out_rest: int = 2, threshold: float = 0.3) -> DataFrame:
+def bounded_sample(rows: DataFrame, most: int) -> DataFrame:
+    """About `most` rows of (doc_id, label) by a hash of the id; all of them when there are no more than that."""
+    n = rows.count()
+    return rows if n <= most else rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * most / n))
+
+
+def toxic_scores(docs: DataFrame, labels: DataFrame, held_out_mod: int = 4, held_out_rest: int = 2, threshold: float = 0.3, train_rows: int = 50_000) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_tokens, segments), one row for every row of docs.
 
     segments: the significant passages (E <= 1) as character spans with scores. Texts without tokens (null, empty) get the score
@@ -239,7 +245,8 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, held_out_mod: int = 4, held
     """
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = training_labels(labels, "toxic", fold_of(held_out_mod) != held_out_rest)
-    model = fit_scores(stored(token_counts(given.join(rows, "doc_id"))))
+    train = F.broadcast(bounded_sample(rows, train_rows))
+    model = fit_scores(stored(token_counts(given.join(train, "doc_id"))))
     scanned = stored(scan(given, model))
     model = calibrate(scanned, rows, model)
     score = 1 / (1 + F.exp(-(F.lit(model.intercept) + model.slope * evidence(model))))
