@@ -50,7 +50,7 @@ def rtl_runs_reversed(letters: DataFrame) -> DataFrame:
     strong = F.when(F.col("value").rlike(RTL), "R").when(F.col("value").rlike(r"\p{L}"), "L")
     marked = letters.withColumn("_s", strong)
     back = F.last("_s", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("_s", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    ahead = F.last("_s", ignorenulls=True).over(Window.partitionBy("doc_id", "line_no").orderBy(F.desc("col")).rowsBetween(Window.unboundedPreceding, 0))
     inside = marked.withColumn("_in", (F.coalesce(back, F.lit("L")) == "R") & (F.coalesce(ahead, F.lit("L")) == "R"))
     numbered = inside.withColumn("_run", F.sum((F.col("_in") != F.coalesce(F.lag("_in").over(order), F.lit(False))).cast("int")).over(order))
     run = Window.partitionBy("doc_id", "line_no", "_run")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
-from pagemill.operators.words import line_words, spans_of_matches
 from pagemill.sources.layout import text_lines
 
 
@@ -21,14 +20,17 @@ def substring_matches(lines: DataFrame, term: str, ignore_case: bool = True, ove
 def search(docs: DataFrame, term: str, ignore_case: bool = True, width: int = 30) -> DataFrame:
     """(doc_id, page_no, line_no, start, first_word, last_word, context) of a term; lines without it are gone before words are made.
 
-    A match that overlaps no word (only blanks) is dropped. Null texts match nothing.
+    The words are those that the match overlaps first and last, read from the text around it. A match that overlaps no word (only
+    blanks) is dropped. Null texts match nothing.
     """
     keys = ["doc_id", "page_no", "line_no"]
     hits = substring_matches(text_lines(docs).select(*keys, "text"), term, ignore_case)
-    lines = hits.select(*keys, "text").distinct()
-    spans = spans_of_matches(hits.select(*keys, "start", "length"), line_words(lines).select(*keys, "word_no", "start", "word"), keys)
-    with_text = spans.join(lines, keys)
-    return with_text.select(*keys, "start", "first_word", "last_word", T.context(F.col("text"), F.col("start"), F.col("length"), width).alias("context"))
+    matched = F.substring("text", F.col("start"), F.col("length"))
+    head = F.reverse(F.regexp_extract(F.reverse(F.substring("text", F.lit(1), F.col("start") - 1)), r"^(\S*)", 1))
+    tail = F.regexp_extract(F.substring("text", F.col("start") + F.col("length"), F.length("text")), r"^(\S*)", 1)
+    whole = F.concat(F.when(matched.rlike(r"^\S"), head).otherwise(""), matched, F.when(matched.rlike(r"\S$"), tail).otherwise(""))
+    found = hits.withColumn("_w", F.filter(F.split(whole, r"\s+"), lambda w: w != "")).where(F.size("_w") > 0)
+    return found.select(*keys, "start", F.element_at("_w", 1).alias("first_word"), F.element_at("_w", -1).alias("last_word"), T.context(F.col("text"), F.col("start"), F.col("length"), width).alias("context"))
 
 
 def regex_matches(lines: DataFrame, pattern: str) -> DataFrame:

@@ -39,7 +39,7 @@ def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, page_no, count(*) AS n FROM w WHERE lower(trim(word, '.,:;!?"''()[]')) = 'idiot' GROUP BY doc_id, page_no""")
 def whole_word_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole-word matches by page."""
-    found = words.line_words(layout.text_lines(_docs(spark, sf_dir))).select("doc_id", "page_no", F.col("word").alias("text"))
+    found = layout.text_lines(_docs(spark, sf_dir)).select("doc_id", "page_no", F.explode(F.split("text", r"\s")).alias("text"))
     return words.whole_word_matches(found, "idiot").groupBy("doc_id", "page_no").agg(F.count("*").alias("n"))
 
 
