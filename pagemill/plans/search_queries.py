@@ -102,14 +102,15 @@ def ordered_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.pages(_docs(spark, sf_dir))
 
 
-_AREA = G.rect(F.lit(142), F.lit(420), F.lit(325), F.lit(605))
+def _area(left: int = 142, bottom: int = 420, right: int = 325, top: int = 605):
+    return G.rect(F.lit(left), F.lit(bottom), F.lit(right), F.lit(top))
 
 
 @register("j8_letters_in_area", f"""WITH {_LETTERS} SELECT doc_id, page_no, CAST(count(*) AS BIGINT) AS n, CAST(sum(col) AS BIGINT) AS cols FROM letters
 WHERE l + 2.5 >= 142 AND l + 2.5 <= 325 AND b + 5 >= 420 AND b + 5 <= 605 GROUP BY doc_id, page_no""")
 def letters_in_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters whose centre lies in an area, by page."""
-    found = layout.letters(_docs(spark, sf_dir)).where(G.removed(F.col("box"), _AREA, "CenterPoint"))
+    found = layout.letters(_docs(spark, sf_dir)).where(G.removed(F.col("box"), _area(), "CenterPoint"))
     return found.groupBy("doc_id", "page_no").agg(F.count("*").alias("n"), F.sum("col").cast("long").alias("cols"))
 
 
@@ -117,7 +118,7 @@ def letters_in_area(spark: SparkSession, sf_dir: str) -> DataFrame:
   CAST(count(*) FILTER (WHERE NOT (l >= 142 AND l + 5 <= 325 AND b >= 420 AND b + 10 <= 605)) AS BIGINT) AS not_inside FROM letters GROUP BY doc_id""")
 def spatial_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many letters stay when those that cross, or lie in, an area go."""
-    flags = layout.letters(_docs(spark, sf_dir)).select("doc_id", (~G.intersects(_AREA, F.col("box"))).alias("x"), (~G.contains(_AREA, F.col("box"))).alias("y"))
+    flags = layout.letters(_docs(spark, sf_dir)).select("doc_id", (~G.intersects(_area(), F.col("box"))).alias("x"), (~G.contains(_area(), F.col("box"))).alias("y"))
     return flags.groupBy("doc_id").agg(F.count_if("x").alias("not_crossing"), F.count_if("y").alias("not_inside"))
 
 
@@ -127,7 +128,7 @@ SELECT doc_id, CAST(count(*) FILTER (WHERE x) AS BIGINT) AS any_overlap, CAST(co
 def removal_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters that each removal strategy takes."""
     box = F.col("box")
-    return layout.letters(_docs(spark, sf_dir)).groupBy("doc_id").agg(*(F.count_if(G.removed(box, _AREA, s)).alias(n) for s, n in (("AnyOverlap", "any_overlap"), ("FullyContained", "fully_contained"), ("CenterPoint", "center_point"))))
+    return layout.letters(_docs(spark, sf_dir)).groupBy("doc_id").agg(*(F.count_if(G.removed(box, _area(), s)).alias(n) for s, n in (("AnyOverlap", "any_overlap"), ("FullyContained", "fully_contained"), ("CenterPoint", "center_point"))))
 
 
 @register("w2_segments", f"""WITH {_LETTERS}, f AS (
@@ -138,8 +139,7 @@ SELECT doc_id, line_no, CAST(segment_no AS BIGINT) AS segment_no, fate = 'kept'
 FROM n GROUP BY doc_id, line_no, segment_no, fate""")
 def keep_remove_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of letters of each line with one fate under area redaction."""
-    area = G.rect(F.lit(140), F.lit(420), F.lit(323), F.lit(605))
-    return redact.segments(redact.removal_flags(layout.letters(_docs(spark, sf_dir)), area), ["doc_id", "line_no"])
+    return redact.segments(redact.removal_flags(layout.letters(_docs(spark, sf_dir)), _area(140, 420, 323, 605)), ["doc_id", "line_no"])
 
 
 @register("f5_redaction_form", """SELECT doc_id, md5(regexp_replace(trim(replace(replace(replace(text, '’', ''''), '–', '-'), '—', '-')), '\\s+', ' ', 'g')) AS digest FROM documents""")
