@@ -8,8 +8,9 @@ equal exactly for equal prefixes) are sorted by Spark at growing lengths, and po
   positions follow from its anchor's.
 * beyond `length`: the stretch of all windows that share an anchor is ranked whole. Stretches with an equal elsewhere are settled:
   all their windows repeat.
-* `length` bytes: where an anchor's stretches differ (near the ends of copies and around edits), windows are ranked one by one, as
-  pairs of the ranks of their two halves. One stretch stands for all its equals.
+* `length` bytes: where an anchor's stretches differ (near the ends of copies and around edits), its windows are ranked in groups of
+  eight neighbours: by the rank of the bytes that all eight share, then with the bytes around them, group by group where those are
+  equal too and window by window where they are not. One stretch stands for all its equals.
 
 Prefix ranks inside a text come from prefix sums over its bytes, in the task that holds the text, so no round has to fetch the
 rank at an offset through a shuffle. Nothing is capped: every position is an anchor's, and every anchor is ranked.
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import mix, prefix_hash, span_hash, stored, text_chunks
@@ -86,26 +87,73 @@ def _anchors(length: int):
     return run
 
 
-def _windows(length: int):
-    half = length // 2
+def _packed(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The seven bytes from each position as one number, the first byte highest; bytes outside the text are 0."""
+    padded = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)]).astype(np.int64)
+    out = np.zeros(len(at), np.int64)
+    for t in range(7):
+        out = out << 8 | padded[at + 8 + t]
+    return out
+
+
+def _groups(length: int):
+    """Eight neighbouring windows at a time: the rank of what all of them share, and the seven bytes before and after that."""
+    k = length // 4
+    span = length - k + 1
+    kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()] * 2 + [pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                doc = batch.column("doc")[row].as_py()
                 data = np.frombuffer((batch.column("text")[row].as_py() or "").encode(), np.uint8)
                 runs = batch.column("runs")[row].values
                 first, more, single = (runs.field(f).to_numpy(zero_copy_only=False) for f in ("at", "more", "single"))
                 prefix = prefix_hash(data)
-                for lo in range(0, len(first), 2048):
-                    n = more[lo : lo + 2048].astype(np.int64) + 1
-                    p = np.repeat(first[lo : lo + 2048] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                    r1, r2 = span_hash(prefix, p, p + half), span_hash(prefix, p + half, p + length)
-                    yield pa.RecordBatch.from_arrays([pa.array(r1.view(np.int64)), pa.array(r2.view(np.int64)), pa.array(np.full(len(p), doc)), pa.array(p), pa.array(np.repeat(single[lo : lo + 2048], n))], names=["r1", "r2", "doc", "at", "single"])
+                at = np.arange(len(data) - k + 1)
+                grams = span_hash(prefix, at, at + k) & ~_POSITION
+                anchor = np.array([p + grams[p : p + span].argmin() for p in first])
+                base = anchor - 8 * (span // 8 + 1)
+                j0, j1 = (first - base) // 8, (first + more - base) // 8
+                n = j1 - j0 + 1
+                of = np.repeat(np.arange(len(first)), n)
+                p0 = base[of] + 8 * (j0[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
+                lo, hi = np.maximum(first[of] - p0, 0), np.minimum(first[of] + more[of] - p0, 7)
+                core = span_hash(prefix, p0 + 7, p0 + length)
+                columns = [core.view(np.int64), _packed(data, p0), _packed(data, p0 + length), lo, hi, np.full(len(of), batch.column("doc")[row].as_py()), p0, single[of]]
+                yield pa.RecordBatch.from_arrays([pa.array(c).cast(kind) for c, kind in zip(columns, kinds, strict=True)], names=["core", "before", "after", "lo", "hi", "doc", "at", "single"])
 
     return run
 
 
+class Members:
+    """A bitmap over ids modulo a prime: ids that are not in it are not among those it was made from. At most 8 MB."""
+
+    def __init__(self, ids: DataFrame, most_bits: int = 1 << 26):
+        n = ids.count()
+        bits = min(max(16 * n, 1 << 12), most_bits)
+        self.mod = next(p for p in range(bits | 1, 2 * bits, 2) if all(p % d for d in range(3, int(p**0.5) + 1, 2)))
+        slots = ids.select(F.pmod("doc", F.lit(self.mod)).alias("slot"))
+        words = slots.groupBy(F.expr("CAST(slot DIV 32 AS INT)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot % 32 AS INT)))").alias("b")).toArrow()
+        held = np.zeros(self.mod // 32 + 1, np.int64)
+        held[words.column("w").to_numpy()] = words.column("b").to_numpy()
+        self.held = held.astype(np.uint32)
+
+    def may_have(self, ids: np.ndarray) -> np.ndarray:
+        slot = ids % self.mod
+        return (self.held[slot // 32] >> (slot % 32).astype(np.uint32)) & 1 == 1
+
+
+def _kept_by(docs: DataFrame, members: Members, inside: bool) -> DataFrame:
+    """docs whose id the bitmap may have, or surely has not; filtered before any text is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(members)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(sent.value.may_have(batch.column("doc").to_numpy()) == inside))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Sorted spans with overlapping and touching ones joined."""
     out: list[list[int]] = []
@@ -145,11 +193,20 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     open_anchors = classes.groupBy("h").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("h")
     todo = classes.join(open_anchors, "h", "left_semi").select("one.doc", "one.at", "one.more", (F.col("n") == 1).alias("single"))
     todo = todo.groupBy("doc").agg(F.collect_list(F.struct("at", "more", "single")).alias("runs"))
-    windows = docs.join(todo, "doc").dropDuplicates(["doc"]).select("doc", "text", "runs").mapInArrow(_windows(length), "r1 long, r2 long, doc long, at long, single boolean")
-    windows = stored(windows)
-    pairs = windows.groupBy("r1", "r2").agg(F.count("*").alias("n"), F.max("single").alias("any")).where("n > 1 and any").select("r1", "r2")
-    lone = windows.where("single").join(pairs, ["r1", "r2"], "left_semi").select("doc", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
-    return settled.unionByName(lone)
+    todo = stored(todo)
+    near = _kept_by(docs, Members(todo.select("doc")), True).join(todo, "doc").dropDuplicates(["doc"]).select("doc", "text", "runs")
+    groups = near.mapInArrow(_groups(length), "core long, before long, after long, lo int, hi int, doc long, at long, single boolean")
+    core, hull = Window.partitionBy("core"), Window.partitionBy("core", "before", "after", "lo", "hi")
+    counted = groups.withColumn("n_core", F.count("*").over(core)).where("n_core > 1")
+    counted = counted.withColumn("n_same", F.count("*").over(hull)).withColumn("nth", F.row_number().over(hull.orderBy("doc", "at")))
+    counted = stored(counted.withColumn("open", F.max(F.col("single") & (F.col("n_same") == 1)).over(core)).where("open or (single and n_same > 1)"))
+    whole = counted.where("single and n_same > 1").select("doc", (F.col("at") + F.col("lo")).alias("start"), (F.col("at") + F.col("hi") + length).alias("end"))
+    windows = counted.where("open and nth = 1").select("core", "before", "after", "doc", "at", (F.col("single") & (F.col("n_same") == 1)).alias("single"), F.explode(F.sequence("lo", "hi")).alias("i"))
+    # Of window i all bytes are the shared ones, the nearest 7 - i before them and the first i after them.
+    left = F.expr("before & (shiftleft(1L, 8 * (7 - i)) - 1L)")
+    same = Window.partitionBy("core", "i", left, F.expr("shiftright(after, 8 * (7 - i))"))
+    lone = windows.withColumn("n", F.count("*").over(same)).where("single and n > 1").select("doc", (F.col("at") + F.col("i")).alias("start"), (F.col("at") + F.col("i") + length).alias("end"))
+    return settled.unionByName(whole).unionByName(lone)
 
 
 def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -164,6 +221,9 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     given = given.withColumn("doc", F.coalesce("doc_id", F.xxhash64("text")))
     found = repeated_spans(given.select("doc", "text"), length)
-    spans = found.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = stored(found.groupBy("doc").agg(F.array_distinct(F.collect_list(F.struct("start", "end"))).alias("spans")))
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
-    return given.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(_cut, kinds)
+    members = Members(spans.select("doc"))
+    none = _kept_by(given, members, False).withColumn("spans", F.lit(None).cast("array<struct<start:long,end:long>>"))
+    some = _kept_by(given, members, True).join(spans, "doc", "left")
+    return none.unionByName(some.select(*none.columns)).select("doc_id", "text", "spans").mapInArrow(_cut, kinds)
