@@ -52,7 +52,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     name = "inv" if inverse else "pow"
     have = _POWERS.get(name)
     if have is None or len(have) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         step = np.full(size, _BASE_INV if inverse else _BASE, np.uint64)
         step[0] = 1
         _POWERS[name] = have = np.multiply.accumulate(step)

@@ -67,7 +67,7 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.
 
 def _pieces(column: pa.Array, length: int, most: int = 1 << 22) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
     """(first row, bytes, offsets, position of the first byte in its document): chunks, with very long texts in overlapping parts."""
-    for lo, hi, data, offsets in text_chunks(column, 1 << 19):
+    for lo, hi, data, offsets in text_chunks(column, 1 << 17):
         if len(data) <= most:
             yield lo, data, offsets, 0
         else:  # a single text
@@ -143,13 +143,15 @@ class Members:
         return (self.held[slot // 32] >> (slot % 32).astype(np.uint32)) & 1 == 1
 
 
-def _kept_by(docs: DataFrame, members: Members, inside: bool) -> DataFrame:
-    """docs whose id the bitmap may have, or surely has not; filtered before any text is shuffled."""
+def _kept_by(docs: DataFrame, members: Members) -> DataFrame:
+    """docs whose id the bitmap may have; filtered before any text is shuffled."""
     sent = docs.sparkSession.sparkContext.broadcast(members)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(sent.value.may_have(batch.column("doc").to_numpy()) == inside))
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                yield part.filter(pa.array(sent.value.may_have(part.column("doc").to_numpy())))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -165,21 +167,29 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(members: Members | None = None):
+    """Cuts each text's spans out; with a bitmap, only of documents that are not in it, which have none."""
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-    for batch in batches:
-        rows = []
-        for doc_id, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("spans"), strict=True):
-            raw = (text.as_py() or "").encode()
-            spans = merged([(x["start"], x["end"]) for x in found.as_py() or []])
-            digest, at = hashlib.sha256(), 0
-            for s, e in [*spans, (len(raw), len(raw))]:
-                digest.update(raw[at:s])
-                at = e
-            rows.append((doc_id, len(raw), sum(e - s for s, e in spans), len(spans), digest.hexdigest(), [{"start": s, "end": e} for s, e in spans]))
-        columns = zip(*rows, strict=True) if rows else [[] for _ in names]
-        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part, rows = batch.slice(lo, 1000), []
+                skip = members.value.may_have(part.column("doc").to_numpy()) if members else np.zeros(part.num_rows, bool)
+                for i in np.flatnonzero(~skip):
+                    raw = (part.column("text")[i].as_py() or "").encode()
+                    found = [] if members else part.column("spans")[i].as_py() or []
+                    spans = merged([(x["start"], x["end"]) for x in found])
+                    digest, at = hashlib.sha256(), 0
+                    for s, e in [*spans, (len(raw), len(raw))]:
+                        digest.update(raw[at:s])
+                        at = e
+                    rows.append((part.column("doc_id")[i].as_py(), len(raw), sum(e - s for s, e in spans), len(spans), digest.hexdigest(), [{"start": s, "end": e} for s, e in spans]))
+                columns = zip(*rows, strict=True) if rows else [[] for _ in names]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=names)
+
+    return run
 
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -194,7 +204,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     todo = classes.join(open_anchors, "h", "left_semi").select("one.doc", "one.at", "one.more", (F.col("n") == 1).alias("single"))
     todo = todo.groupBy("doc").agg(F.collect_list(F.struct("at", "more", "single")).alias("runs"))
     todo = stored(todo)
-    near = _kept_by(docs, Members(todo.select("doc")), True).join(todo, "doc").dropDuplicates(["doc"]).select("doc", "text", "runs")
+    near = _kept_by(docs, Members(todo.select("doc"))).join(todo, "doc").dropDuplicates(["doc"]).select("doc", "text", "runs")
     groups = near.mapInArrow(_groups(length), "core long, before long, after long, lo int, hi int, doc long, at long, single boolean")
     core, hull = Window.partitionBy("core"), Window.partitionBy("core", "before", "after", "lo", "hi")
     counted = groups.withColumn("n_core", F.count("*").over(core)).where("n_core > 1")
@@ -224,6 +234,6 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     spans = stored(found.groupBy("doc").agg(F.array_distinct(F.collect_list(F.struct("start", "end"))).alias("spans")))
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
     members = Members(spans.select("doc"))
-    none = _kept_by(given, members, False).withColumn("spans", F.lit(None).cast("array<struct<start:long,end:long>>"))
-    some = _kept_by(given, members, True).join(spans, "doc", "left")
-    return none.unionByName(some.select(*none.columns)).select("doc_id", "text", "spans").mapInArrow(_cut, kinds)
+    none = given.mapInArrow(_cut(docs.sparkSession.sparkContext.broadcast(members)), kinds)
+    some = _kept_by(given, members).join(spans, "doc", "left").select("doc_id", "text", "spans")
+    return none.unionByName(some.mapInArrow(_cut(), kinds))
