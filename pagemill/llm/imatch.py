@@ -5,8 +5,9 @@ documents (an idf band), sorted. The lexicon is dealt at random into `groups` x
 the text's sorted terms in it, and a hash of all its words. Texts that share a part share the subsets that the rest leaves untouched.
 
 Size of what tasks get: at most D / least_share terms can be in least_share of all documents when a document has D distinct
-words on average, whatever the number of documents; of those the lexicon keeps one for each of `slots` hash slots, the one with the
-smallest mark. It is one constant array of `slots` numbers.
+words on average, whatever the number of documents. The lexicon holds every one of them by its 31-bit mark, in two constant arrays: a
+perfect hash, whose table has at most 2.5 slots a term, and a displacement for every four terms. A word outside the band is taken for a
+term with probability under 2^-31.
 """
 
 from __future__ import annotations
@@ -30,15 +31,47 @@ def _mark(h: Column) -> Column:
     return F.greatest(F.shiftrightunsigned(h, 33).cast("int"), F.lit(1))
 
 
-def lexicon(docs: DataFrame, least_share: float = 0.001, most_share: float = 0.2, slots: int = 1 << 15) -> Column:
-    """The lexicon of all documents as a constant array: for each slot its term's mark, 0 where no term of the band falls in it."""
+def _perfect(terms: list[int]) -> tuple[list[int], list[int]]:
+    """(displacement of every bucket of terms, mark in every slot or 0): terms of a bucket are displaced until each has a slot of its own."""
+    terms = [h % (1 << 64) for h in terms]
+    slots = 1 << (5 * len(terms) // 4).bit_length()
+    while True:
+        places: list[list[tuple[int, int, int]]] = [[] for _ in range(max(len(terms) // 4, 1))]
+        for h in terms:
+            places[(h >> 20) % len(places)].append((h, (h >> 36 & 0xFFFF) | 1, max(h >> 33, 1)))
+        moves, held = [0] * len(places), [0] * slots
+        for bucket in sorted(range(len(places)), key=lambda i: -len(places[i])):
+            for move in range(4096):
+                found = {(h + move * step) % slots: mark for h, step, mark in places[bucket]}
+                if len(found) == len(places[bucket]) and not any(held[at] for at in found):
+                    break
+            else:
+                break
+            moves[bucket] = move
+            for at, mark in found.items():
+                held[at] = mark
+        else:
+            return moves, held
+        slots *= 2
+
+
+Lexicon = tuple[Column, int, Column, int]
+
+
+def lexicon(docs: DataFrame, least_share: float = 0.001, most_share: float = 0.2) -> Lexicon:
+    """All terms of the band of all documents: the displacements and the marks as constant arrays, each with its length."""
     n = docs.count()
     counts = docs.select(F.explode(_word_hashes(F.col("text"))).alias("h")).groupBy("h").count()
     band = counts.where((F.col("count") >= max(2.0, least_share * n)) & (F.col("count") <= max(most_share * n, 2.0)))
-    held = [0] * slots
-    for row in band.groupBy(F.pmod("h", F.lit(slots)).cast("int").alias("slot")).agg(F.min(_mark(F.col("h"))).alias("mark")).collect():
-        held[row.slot] = row.mark
-    return F.split(F.lit(",".join(map(str, held))), ",").cast("array<int>")
+    moves, held = _perfect(sorted(row.h for row in band.select("h").collect()))
+    return *(x for a in (moves, held) for x in (F.split(F.lit(",".join(map(str, a))), ",").cast("array<int>"), len(a))),
+
+
+def _in_lexicon(h: Column, moves: Column, buckets: int, held: Column, slots: int) -> Column:
+    move = F.get(moves, F.pmod(F.shiftrightunsigned(h, 20), F.lit(buckets)).cast("int"))
+    step = F.shiftrightunsigned(h, 36).bitwiseAND(F.lit(0xFFFF)).bitwiseOR(F.lit(1))
+    at = h.bitwiseAND(F.lit(slots - 1)) + move * step
+    return F.get(held, at.bitwiseAND(F.lit(slots - 1)).cast("int")) == _mark(h)
 
 
 def with_next(docs: DataFrame, buckets: int) -> DataFrame:
@@ -71,10 +104,10 @@ def _signed(terms: Column, groups: int, parts: int) -> Column:
     return F.flatten(split)
 
 
-def fingerprinted(df: DataFrame, text: str, prefix: str, held: Column, slots: int = 1 << 15, groups: int = 8, parts: int = 16) -> DataFrame:
+def fingerprinted(df: DataFrame, text: str, prefix: str, held: Lexicon, groups: int = 8, parts: int = 16) -> DataFrame:
     """df with {prefix}words, a hash of the text's sorted words, and {prefix}signs, its array of subset signatures."""
     hashes = df.withColumn("_h", F.array_sort(_word_hashes(F.col(text))))
-    terms = hashes.withColumn("_t", F.filter("_h", lambda h: F.get(held, F.pmod(h, F.lit(slots)).cast("int")) == _mark(h)))
+    terms = hashes.withColumn("_t", F.filter("_h", lambda h: _in_lexicon(h, *held)))
     signed = terms.withColumn(f"{prefix}words", F.lpad(F.lower(F.hex(F.xxhash64("_h"))), 16, "0")).withColumn(f"{prefix}signs", _signed(F.col("_t"), groups, parts))
     return signed.drop("_h", "_t")
 
