@@ -33,22 +33,27 @@ def default_tokenizer() -> str:
 
 @lru_cache(maxsize=2)
 def _encoder(path: str):
-    """The byte-level BPE of a tokenizers file; tiktoken merges the same vocabulary by the same ranks and gives the same ids."""
+    """The byte-level BPE of a tokenizers file; tiktoken merges the same vocabulary by the same ranks and gives the same ids.
+
+    Added tokens are cut out of a text before it is merged, as tokenizers does, and have the ids of the file.
+    """
     import public_tokenizers
     import tiktoken
 
     with open(path, encoding="utf-8") as file:
-        vocabulary = json.load(file)["model"]["vocab"]
+        parsed = json.load(file)
+    vocabulary = parsed["model"]["vocab"]
+    added = {t["content"]: t["id"] for t in parsed.get("added_tokens") or []}
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in set(printable)]
     byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if all(c in byte_of for c in token) and token != "<|endoftext|>"}
-    return tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if all(c in byte_of for c in token) and token not in added}
+    return tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def token_ids(text: str | None, path: str, end_id: int) -> np.ndarray:
-    """Ids of a whole text, then the end id; special tokens' strings in a text are ordinary text."""
-    ids = _encoder(path).encode_to_numpy(text or "", disallowed_special=())
+    """Ids of a whole text, then the end id; an added token's string in a text is its one id."""
+    ids = _encoder(path).encode_to_numpy(text or "", allowed_special="all")
     return np.append(ids.astype(np.uint32), np.uint32(end_id))
 
 
