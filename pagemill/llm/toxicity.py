@@ -1,9 +1,10 @@
 """Toxic passages by maximum-scoring segment search over token log-odds, aggregated by extreme-value calibration.
 
-1. Log-odds. Over the labelled training rows, at most about `train_rows` of them so that they can be sent to the texts, the number of toxic and of other texts with a token gets an informative Dirichlet
-   prior (the token's share of both, `prior_mass` pseudo-tokens); the log-odds ratio and its standard error give a z-score.
-   The lexicon keeps tokens with |z| >= min_z, at most `lexicon_limit` of them by |z|: that bounds what is sent to tasks. All
-   other tokens share the log-odds of their summed counts.
+1. Log-odds. Over the labelled training rows, at most about `train_rows` of them so that they can be sent to the texts, the number
+   of toxic and of other texts with a token gets an informative Dirichlet prior (the token's share of both, `prior_mass`
+   pseudo-tokens); the log-odds ratio and its standard error give a z-score. Beginnings of tokens of three to seven letters
+   are counted likewise and stand for tokens that are too rare themselves. The lexicon keeps all with |z| >= min_z; the bounded
+   training rows bound it. All other tokens share the log-odds of their summed counts.
 2. Scan. One linear pass over a whole text finds all disjoint maximal-scoring segments; runs of tokens outside the lexicon are
    one step each.
 3. Calibration. A segment of score S in a text of m tokens has the expected count E = K m exp(-lambda S); lambda solves
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import stored
 
 _TOKEN = re.compile(r"\w+")
-#: Evidence is kept within these ends, so that calibration reads a bounded histogram.
-LEAST_EVIDENCE, MOST_EVIDENCE = -10.0, 80.0
+#: Letters of the beginnings that stand for rare tokens, the longest first.
+BEGINNINGS = (7, 6, 5, 4, 3)
 SCANNED = "doc_id long, n_tokens long, segments array<struct<start:int,end:int,score:double>>"
 
 
@@ -38,13 +39,13 @@ def fold(text: str) -> str:
     return text.replace("İ", "i").lower()
 
 
-def stem(token: str) -> str | None:
-    """What stands for a longer token that is not in the lexicon itself: its first seven letters."""
-    return token[:7] + "*" if len(token) > 7 else None
+def beginnings(token: str) -> list[str]:
+    """What stands for a token that is not in the lexicon itself, the longest first."""
+    return [f"{token[:n]}*" for n in BEGINNINGS if len(token) > n]
 
 
 class _Scores(dict):
-    """Scores by token, filled as tokens are met: the token's own, else that of its stem, else None."""
+    """Scores by token, filled as tokens are met: the token's own, else that of its longest beginning in the lexicon, else None."""
 
     def __init__(self, scores: dict[str, float], most: int = 1_000_000):
         super().__init__()
@@ -52,8 +53,8 @@ class _Scores(dict):
 
     def __missing__(self, token: str) -> float | None:
         found = self.known.get(token)
-        if found is None and len(token) > 7:
-            found = self.known.get(stem(token))
+        if found is None:
+            found = next((self.known[b] for b in beginnings(token) if b in self.known), None)
         if len(self) >= self.most:
             self.clear()
         self[token] = found
@@ -70,6 +71,7 @@ class Model:
     base: float = 0.1
     intercept: float = 0.0
     slope: float = 1.0
+    cut: float = 0.5
 
 
 def maximal_segments(steps: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
@@ -128,7 +130,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, label in zip(batch.column("text"), batch.column("label").to_pylist(), strict=True):
             words = set(_TOKEN.findall(fold(text.as_py() or "")))
-            counts[label].update(words | {stem(w) for w in words if len(w) > 7})
+            counts[label].update(words | {b for w in words for b in beginnings(w)})
             if len(counts[0]) + len(counts[1]) > 200_000:
                 yield out()
     yield out()
@@ -139,7 +141,7 @@ def token_counts(train: DataFrame) -> DataFrame:
     return train.select("text", "label").mapInArrow(_count, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def fit_scores(counts: DataFrame, prior_mass: float = 10_000.0, min_z: float = 3.0, lexicon_limit: int = 50_000) -> Model:
+def fit_scores(counts: DataFrame, prior_mass: float = 10_000.0, min_z: float = 3.0) -> Model:
     """Log-odds with Dirichlet priors from token counts; with one class missing or no tokens, a model without a lexicon."""
     sums = counts.agg(F.sum("toxic"), F.sum("clean")).first()
     n_t, n_c = float(sums[0] or 0), float(sums[1] or 0)
@@ -149,7 +151,7 @@ def fit_scores(counts: DataFrame, prior_mass: float = 10_000.0, min_z: float = 3
     t, c = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(t / (n_t + prior_mass - t)) - F.log(c / (n_c + prior_mass - c))
     scored = counts.select("token", "toxic", "clean", odds.alias("s"), (odds / F.sqrt(1 / t + 1 / c)).alias("z"))
-    rows = scored.where((F.abs("z") >= min_z) & (F.col("toxic") + F.col("clean") >= 5)).orderBy(F.abs("z").desc(), "token").limit(lexicon_limit).collect()
+    rows = scored.where((F.abs("z") >= min_z) & (F.col("toxic") + F.col("clean") >= 5)).orderBy(F.abs("z").desc(), "token").collect()
     scores = {r.token: r.s for r in rows}
     rest_t, rest_c = n_t - sum(r.toxic for r in rows), n_c - sum(r.clean for r in rows)
     other = min(math.log((rest_t + 1) / (n_t + 2)) - math.log((rest_c + 1) / (n_c + 2)), -1e-4)
@@ -186,21 +188,25 @@ def _best() -> Column:
 
 
 def evidence(model: Model) -> Column:
-    """Sum of -ln E over segments with E <= 1, else -ln E of the best segment; within fixed ends."""
+    """Sum of -ln E over segments with E <= 1, else -ln E of the best segment, on a logarithmic scale on both sides of 0: it has no
+    ends, and still few values when rounded. Texts without a segment are as one with E = 10 a token."""
     log_e = lambda s: F.lit(math.log(model.base)) + F.log(F.greatest("n_tokens", F.lit(1))) - model.decay * s
     total = F.aggregate("segments", F.lit(0.0), lambda acc, s: acc + F.greatest(-log_e(s["score"]), F.lit(0.0)))
-    best = F.coalesce(-log_e(_best()), F.lit(LEAST_EVIDENCE))
-    return F.least(F.greatest(F.when(best > 0, total).otherwise(best), F.lit(LEAST_EVIDENCE)), F.lit(MOST_EVIDENCE))
+    best = -F.coalesce(log_e(_best()), F.log(10.0 * F.greatest("n_tokens", F.lit(1))))
+    found = F.when(best > 0, total).otherwise(best)
+    return F.signum(found) * F.log1p(F.abs(found))
 
 
 def calibrate(scanned: DataFrame, labels: DataFrame, model: Model) -> Model:
-    """The model with K from non-toxic training texts and a logistic curve from a histogram of all training texts."""
+    """The model with K from non-toxic training texts, and a logistic curve and a balanced cut from a histogram of all training texts.
+
+    The cut is the score from which on the share of toxic texts that it catches, less that of other texts, is largest."""
     joined = stored(scanned.join(labels.select("doc_id", "label"), "doc_id"))
     excess = model.decay * _best() - F.log(F.greatest("n_tokens", F.lit(1)))
     mean = joined.where("label = 0 and size(segments) > 0").agg(F.avg(excess)).first()[0]
     base = math.exp(min(max((mean if mean is not None else -2.3) - 0.5772, -12.0), 3.0))
     model = Model(model.scores, model.other, model.decay, base)
-    bins = joined.groupBy(F.round(evidence(model), 1).alias("x"), "label").count().collect()
+    bins = joined.groupBy(F.round(evidence(model), 2).alias("x"), "label").count().collect()
     if len({r.label for r in bins}) < 2:
         share = 0.99 if any(r.label for r in bins) else 0.01
         return Model(model.scores, model.other, model.decay, base, math.log(share / (1 - share)), 0.0)
@@ -216,7 +222,11 @@ def calibrate(scanned: DataFrame, labels: DataFrame, model: Model) -> Model:
         a, b = a + step[0], b + step[1]
         if np.abs(step).max() < 1e-9:
             break
-    return Model(model.scores, model.other, model.decay, base, a, max(b, 1e-6))
+    b = max(b, 1e-6)
+    ends = np.unique(x)
+    gain = [(w * y)[x >= e].sum() / (w * y).sum() - (w * (1 - y))[x >= e].sum() / (w * (1 - y)).sum() for e in ends]
+    best = ends[int(np.argmax(gain))]
+    return Model(model.scores, model.other, model.decay, base, a, b, float(1 / (1 + np.exp(-(a + b * (best - 0.005))))))
 
 
 def training_labels(labels: DataFrame, label_col: str, keep: Column) -> DataFrame:
@@ -236,9 +246,11 @@ def bounded_sample(rows: DataFrame, most: int) -> DataFrame:
     return rows if n <= most else rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * most / n))
 
 
-def toxic_scores(docs: DataFrame, labels: DataFrame, held_out_mod: int = 4, held_out_rest: int = 2, threshold: float = 0.3, train_rows: int = 50_000) -> DataFrame:
+def toxic_scores(docs: DataFrame, labels: DataFrame, held_out_mod: int = 4, held_out_rest: int = 2, threshold: float | None = 0.3, train_rows: int = 50_000) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_tokens, segments), one row for every row of docs.
 
+    predicted: the score is at least the threshold; without one, at least the balanced cut that the training rows give.
+
     segments: the significant passages (E <= 1) as character spans with scores. Texts without tokens (null, empty) get the score
     of a text without evidence. Rows with a null id are scored, not held out, and never trained on. With an empty label table
     every score is the same. Labels, language, source and id never enter a score; other columns are not read.
@@ -252,4 +264,4 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, held_out_mod: int = 4, held
     score = 1 / (1 + F.exp(-(F.lit(model.intercept) + model.slope * evidence(model))))
     log_e = lambda s: F.lit(math.log(model.base)) + F.log(F.greatest("n_tokens", F.lit(1))) - model.decay * s["score"]
     out = scanned.select("doc_id", F.coalesce(fold_of(held_out_mod) == held_out_rest, F.lit(False)).alias("held_out"), score.alias("score"), "n_tokens", F.filter("segments", lambda s: log_e(s) <= 0).alias("segments"))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return out.withColumn("predicted", (F.col("score") >= (model.cut if threshold is None else threshold)).cast("int"))
