@@ -21,8 +21,8 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject."""
-    scored = toxicity.toxic_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that the toxicity model does not reject at the balanced cut of its training rows."""
+    scored = toxicity.toxic_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=None)
     return _without(docs, scored.where("predicted = 1"))
 
 
