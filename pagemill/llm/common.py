@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and \x09-\x0D.
 _SPACE = np.zeros(256, bool)
@@ -18,25 +20,56 @@ _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
+_RUN_DIRS: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; only where it is unset, as in tests, a new one."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where it is unset, as in tests, a new one on this machine;
+    on a cluster that folder would not be shared, so there the setting is asked for."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def _run_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables, removed when the driver ends."""
+    path = f"{scratch_dir(spark)}/pagemill-{spark.sparkContext.applicationId}"
+    if path not in _RUN_DIRS:
+        _RUN_DIRS.add(path)
+        atexit.register(drop_stored, spark, path)
+    return path
+
+
+def drop_stored(spark: SparkSession, path: str | None = None) -> None:
+    """Removes the intermediate tables of this application, for results that have been written; called at the end of the driver."""
+    if spark.sparkContext._jsc is not None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path or _run_dir(spark))
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stored(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """df, written as a table in the shared folder and read again: its lineage is cut and any executor may be lost later."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/pagemill-{uuid.uuid4().hex}"
+    path = f"{_run_dir(spark)}/{uuid.uuid4().hex}"
     (df.coalesce(partitions) if partitions else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(given: DataFrame) -> DataFrame:
+    """given (doc_id, text) with doc, a number that no two different texts share: the id where all its rows have one text, else, and for
+    null ids, a negative hash of id and text. Only ids with several texts are looked up; as a rule there are none."""
+    hashed = given.withColumn("_h", F.xxhash64("text"))
+    several = hashed.where("doc_id is not null").groupBy("doc_id").agg(F.min("_h").alias("lo"), F.max("_h").alias("hi")).where("lo < hi")
+    several = stored(several.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_several")))
+    own = -(F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1))) - 2
+    looked = hashed.drop("_h").join(several, F.col("doc_id") == F.col("_id"), "left")
+    return looked.select(*given.columns, F.when(F.col("doc_id").isNull() | F.col("_several"), own).otherwise(F.col("doc_id")).alias("doc"))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (bijective), so that close inputs get unrelated outputs."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

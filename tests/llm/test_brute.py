@@ -179,7 +179,7 @@ def test_op9_covers_exact_passages(spark, texts):
     need = {(i, q) for found in places.values() if len({i for i, _ in found}) > 1 for i, p in found for q in range(p, p + 50)}
     have = set()
     for r in queries.op9_chaining(spark, SF).collect():
-        have |= {(r.doc_a, q) for q in range(r.start_a, r.end_a)} | {(r.doc_b, q) for q in range(r.start_b, r.end_b)}
+        have |= {(r.doc_id, q) for q in range(r.start, r.end)} | {(r.partner_id, q) for q in range(r.partner_start, r.partner_end)}
     assert need <= have
 
 
