@@ -1,9 +1,9 @@
 """Packing token pieces into sequences of fixed length by bin completion with branch and bound.
 
 The search runs on the histogram of piece lengths, which has at most `capacity` rows whatever the corpus: the largest remaining
-length opens a sequence, its undominated fillings are enumerated (exact ones first), a filling is used as often as the counts
+length opens a sequence, all its undominated fillings are enumerated (the least waste first), a filling is used as often as the counts
 allow, and branches that cannot beat the best solution by their waste are pruned. The first descent, which always takes the
-best-fitting filling, is the first incumbent. Only the resulting patterns go back to the tasks; pieces find their place by their
+best-fitting filling, is the first incumbent. least_sequences, a lower bound, comes with the result and shows how good it is. Only the resulting patterns go back to the tasks; pieces find their place by their
 rank among the pieces of their length, counted in salted groups, so no length has to fit in one task.
 """
 
@@ -85,85 +85,112 @@ def tokenized_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tok
     return given.mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 
 
-def fillings(counts: dict[int, int], room: int, most: int) -> list[tuple[int, ...]]:
-    """Up to `most` undominated fillings of the room with at most four pieces, the least waste and then the fewest pieces first.
+def _sums(pieces: list[int]) -> tuple[int, int]:
+    """Bit sets of the sums of all subsets of the pieces, and of the subsets of two or more."""
+    every, one, more = 1, 0, 0
+    for s in pieces:
+        more |= (more | one) << s
+        one |= 1 << s
+        every |= every << s
+    return every, more
 
-    A filling is dominated when one piece that is still there could stand for two or more of its pieces without less waste.
+
+def fillings(counts: dict[int, int], room: int) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of the room, one after another: the least waste first, then the largest pieces first.
+
+    Which sums can be reached is found first, as bit sets over the sizes from the smallest up, so no branch of the enumeration is in vain.
+    A filling is dominated when a piece that it leaves could stand for none or more of its pieces with less waste, or for two or more
+    of them with the same: what is left is then easier to pack.
     """
-    sizes = sorted((s for s, n in counts.items() if n > 0 and s <= room), reverse=True)
-    if not sizes:
-        return [()]
-    have = set(sizes)
-    found: list[tuple[int, ...]] = []
-    if room in have:
-        return [(room,)]
-    found.append((sizes[0],))
-    exact = [(a, room - a) for a in sizes if 2 * a >= room and room - a in have and (2 * a != room or counts[a] > 1)][:most]
-    if not exact:
-        for i, a in enumerate(sizes):
-            if 3 * a < room or len(exact) >= most:
-                break
-            rest = room - a
-            for b in sizes[i:]:
-                if b > rest or 2 * b < rest:
-                    continue
-                c = rest - b
-                if c in have and all(counts[x] >= (a, b, c).count(x) for x in (a, b, c)):
-                    exact.append((a, b, c))
-                    break
-    if exact:
-        return exact[:most]
-    for first in sizes[:most]:
-        left, used, rest = room - first, [first], dict(counts)
-        rest[first] -= 1
-        for s in sizes:
-            while s <= left and rest.get(s, 0) > 0 and len(used) < 64:
-                used.append(s)
-                rest[s] -= 1
-                left -= s
-        found.append(tuple(used))
-    unique = sorted({tuple(sorted(f, reverse=True)) for f in found}, key=lambda f: (room - sum(f), len(f)))
-    return [f for i, f in enumerate(unique) if i == 0 or not any(sum(g) >= sum(f) and len(g) < len(f) and set(g) <= set(f) for g in unique[:i])][:most]
-
-
-def plan_sequences(counts: dict[int, int], capacity: int, branches: int = 3, node_limit: int = 4000) -> list[Pattern]:
+    sizes = sorted(s for s, n in counts.items() if n > 0 and s <= room)
+    within = (1 << (room + 1)) - 1
+    reach = [1]
+    for s in sizes:
+        now, shifted = reach[-1], reach[-1]
+        for _ in range(min(counts[s], room // s)):
+            shifted = shifted << s & within
+            now |= shifted
+        reach.append(now)
+
+    def exact(i: int, target: int) -> Iterator[tuple[int, ...]]:
+        """Fillings of exactly the target with the i smallest sizes."""
+        while i and not target - sizes[i - 1] >= 0:
+            i -= 1
+        if not target:
+            yield ()
+        elif i:
+            s = sizes[i - 1]
+            for n in range(min(counts[s], target // s), -1, -1):
+                if reach[i - 1] >> (target - n * s) & 1:
+                    for rest in exact(i - 1, target - n * s):
+                        yield (s,) * n + rest
+
+    for target in range(room, -1, -1):
+        if reach[-1] >> target & 1:
+            waste = room - target
+            for filling in exact(len(sizes), target):
+                left = sum(1 << s for s in sizes if counts[s] > filling.count(s))
+                every, more = _sums(list(filling))
+                if not more & left and not any(every << w & left for w in range(1, waste + 1)):
+                    yield filling
+
+
+def least_sequences(counts: dict[int, int], capacity: int) -> int:
+    """No packing has fewer sequences: all tokens over the capacity, and pieces of over half of it share no sequence."""
+    return max(-(-sum(s * n for s, n in counts.items()) // capacity), sum(n for s, n in counts.items() if 2 * s > capacity))
+
+
+def plan_sequences(counts: dict[int, int], capacity: int, node_limit: int = 2000) -> list[Pattern]:
     """Patterns (lengths, how often) that hold exactly the given pieces in as few sequences as the search finds.
 
-    It ends when the bound ceil(tokens / capacity) is met or after node_limit nodes; the first descent is never cut short.
+    Depth first: each node has the generator of its fillings, the best-fitting one first, so the first descent is the first incumbent. A
+    node is left when its sequences and those that its remaining tokens need at least are as many as the incumbent's. The search
+    ends when the incumbent meets least_sequences, when all undominated fillings are tried, or after node_limit nodes; the first descent is
+    never cut short.
     """
-    total = sum(s * n for s, n in counts.items())
-    bound = -(-total // capacity)
-    best: list[Pattern] = []
-    best_bins, nodes = None, 0
-    stack: list[tuple[dict[int, int], int, int, tuple | None]] = [({s: n for s, n in counts.items() if n > 0}, 0, total, None)]
+    bound = least_sequences(counts, capacity)
+    best: list[Pattern] | None = None
+    best_bins = nodes = 0
+
+    def node(left: dict[int, int], bins: int) -> tuple:
+        largest = max(left)
+        rest = {s: n - (s == largest) for s, n in left.items() if n - (s == largest)}
+        return left, bins, sum(s * n for s, n in left.items()), largest, fillings(rest, capacity - largest)
+
+    start = {s: n for s, n in counts.items() if n > 0}
+    if not start:
+        return []
+    stack, trail = [node(start, 0)], []
     while stack:
-        left, bins, tokens, trail = stack.pop()
-        if best_bins is not None and (nodes >= node_limit or best_bins == bound):
-            break
-        if best_bins is not None and bins + -(-tokens // capacity) >= best_bins:
+        left, bins, tokens, largest, options = stack[-1]
+        filling = None
+        if best is None or (bins + -(-tokens // capacity) < best_bins and nodes < node_limit and best_bins > bound):
+            filling = next(options, None)
+        if filling is None:
+            stack.pop()
+            if trail:
+                trail.pop()
             continue
         nodes += 1
-        if not left:
-            best_bins, best = bins, []
-            while trail is not None:
-                best.append(trail[0])
-                trail = trail[1]
+        pattern = (largest, *filling)
+        uses = {s: pattern.count(s) for s in set(pattern)}
+        times = min(left[s] // k for s, k in uses.items())
+        rest = {s: n - uses.get(s, 0) * times for s, n in left.items()}
+        rest = {s: n for s, n in rest.items() if n}
+        trail.append((pattern, times))
+        if rest:
+            stack.append(node(rest, bins + times))
             continue
-        largest = max(left)
-        left[largest] -= 1
-        options = fillings(left, capacity - largest, branches)
-        left[largest] += 1
-        for filling in reversed(options):
-            pattern = (largest, *filling)
-            uses = {s: pattern.count(s) for s in set(pattern)}
-            times = min(left[s] // k for s, k in uses.items())
-            rest = {s: n - uses.get(s, 0) * times for s, n in left.items()}
-            stack.append(({s: n for s, n in rest.items() if n}, bins + times, tokens - sum(pattern) * times, ((pattern, times), trail)))
-    return best
+        if best is None or bins + times < best_bins:
+            best, best_bins = list(trail), bins + times
+        trail.pop()
+    return best or []
 
 
 def packed(pieces: DataFrame, capacity: int = 1024, salts: int = 128) -> DataFrame:
-    """pieces with sequence_id and offset: every piece once, no sequence over capacity, offsets without gaps.
+    """pieces with sequence_id, offset and least_sequences: every piece once, no sequence over capacity, offsets without gaps.
+
+    least_sequences is the same in all rows: no packing of the pieces has fewer sequences.
 
     pieces needs doc_id, piece and length (1 to capacity) and should be a stored table, as it is read twice. Rows may repeat.
     """
@@ -184,11 +211,11 @@ def packed(pieces: DataFrame, capacity: int = 1024, salts: int = 128) -> DataFra
     ranked = salted.withColumn("_n", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1)
     ranked = ranked.join(groups.select("length", "_salt", before.alias("_before")), ["length", "_salt"]).withColumn("_rank", F.col("_n") + F.col("_before"))
     put = ranked.join(place, "length").where("_rank >= lo and _rank < hi")
-    return put.select(*pieces.columns, (F.col("base") + F.col("_rank") - F.col("lo")).alias("sequence_id"), F.col("at").alias("offset"))
+    return put.select(*pieces.columns, (F.col("base") + F.col("_rank") - F.col("lo")).alias("sequence_id"), F.col("at").alias("offset"), F.lit(least_sequences(counts, capacity)).cast("long").alias("least_sequences"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer_path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """Every document's pieces with their sequences: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset.
+    """Every document's pieces with their sequences: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset, least_sequences.
 
     Null and empty texts are the end id alone. Repeated rows are packed as often as they occur; a null id is carried through.
     An empty table gives no rows. Other columns are not read.
