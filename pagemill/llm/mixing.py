@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import stored, text_chunks, word_hashes
 
 DIMENSIONS = ("source", "lang", "topic")
+#: Raking ends after so many cycles, or when no weight has moved by more than this share of the budget.
+CYCLES, TOLERANCE = 200, 1e-9
 Targets = Mapping[str, Mapping[object, float]]
 
 
@@ -47,7 +49,7 @@ def tempered(shares: Mapping[object, float], power: float) -> dict[object, float
     return {k: v / sum(raised.values()) for k, v in raised.items()}
 
 
-def rake(tokens: np.ndarray, members: list[np.ndarray], targets: list[np.ndarray], budget: float, cycles: int = 200, tolerance: float = 1e-9) -> np.ndarray:
+def rake(tokens: np.ndarray, members: list[np.ndarray], targets: list[np.ndarray], budget: float, cycles: int = CYCLES, tolerance: float = TOLERANCE) -> np.ndarray:
     """Cell weights of about the budget in sum whose marginals meet the targets (shares) as far as tokens allow."""
     weights = tokens * min(1.0, budget / max(tokens.sum(), 1.0))
     for _ in range(cycles):
@@ -61,24 +63,28 @@ def rake(tokens: np.ndarray, members: list[np.ndarray], targets: list[np.ndarray
     return weights
 
 
-def _rake_in_spark(cells: DataFrame, targets: DataFrame, budget: float, total: float, cycles: int = 30) -> DataFrame:
-    """The same raking as joins and aggregates, for more cells than a driver should hold. targets: dimension, value, share."""
+def _rake_in_spark(cells: DataFrame, targets: DataFrame, budget: float, total: float, cycles: int = CYCLES, tolerance: float = TOLERANCE) -> DataFrame:
+    """The same raking with the same end as joins and aggregates, for more cells than a driver should hold. targets: dimension, value, share."""
     now = cells.withColumn("weight", F.col("tokens") * min(1.0, budget / max(total, 1.0)))
     for _ in range(cycles):
+        now = now.withColumn("_start", F.col("weight"))
         for name in DIMENSIONS:
             goal = targets.where(F.col("dimension") == name).select(F.col("value").alias("_v"), "share")
             factor = now.groupBy(F.col(name).cast("string").alias("_k")).agg(F.sum("weight").alias("_s"))
             factor = factor.join(goal, F.col("_k").eqNullSafe(F.col("_v")), "left").select("_k", F.coalesce(F.try_divide(F.col("share") * budget, F.col("_s")), F.lit(0.0)).alias("_f"))
             now = now.join(factor, F.col(name).cast("string").eqNullSafe(F.col("_k"))).withColumn("weight", F.col("weight") * F.col("_f")).drop("_k", "_f")
         now = stored(now.withColumn("weight", F.least("weight", F.col("tokens").cast("double"))))
+        if (now.agg(F.max(F.abs(F.col("weight") - F.col("_start")))).first()[0] or 0.0) <= tolerance * max(budget, 1.0):
+            break
+        now = now.drop("_start")
     return now
 
 
-def cell_probabilities(cells: DataFrame, targets: Targets | None = None, power: float = 0.7, keep_share: float = 0.75, driver_cells: int = 100_000) -> DataFrame:
+def cell_probabilities(cells: DataFrame, targets: Targets | None = None, power: float = 0.7, keep_share: float = 0.75, driver_cells: int = 100_000, cycles: int = CYCLES) -> DataFrame:
     """(source, lang, topic, probability) from (source, lang, topic, tokens).
 
     A dimension without given targets gets its own shares to the given power. Categories that given targets leave out get
-    weight 0. Up to driver_cells cells are raked in memory, more as Spark jobs.
+    weight 0. Up to driver_cells cells are raked in memory, more as Spark jobs, by one rule and to the same end.
     """
     spark = cells.sparkSession
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
@@ -92,7 +98,7 @@ def cell_probabilities(cells: DataFrame, targets: Targets | None = None, power:
                 raised = cells.groupBy(F.col(name).cast("string").alias("value")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("r"))
                 norm = raised.agg(F.sum("r")).first()[0] or 1.0
                 parts.append(raised.select(F.lit(name).alias("dimension"), "value", (F.col("r") / norm).alias("share")))
-        raked = _rake_in_spark(cells, stored(parts[0].unionByName(parts[1]).unionByName(parts[2])), budget, total)
+        raked = _rake_in_spark(cells, stored(parts[0].unionByName(parts[1]).unionByName(parts[2])), budget, total, cycles)
         return raked.select(*DIMENSIONS, F.coalesce(F.try_divide("weight", "tokens"), F.lit(1.0)).alias("probability"))
     rows = cells.collect()
     tokens = np.array([r.tokens for r in rows], float)
@@ -104,7 +110,7 @@ def cell_probabilities(cells: DataFrame, targets: Targets | None = None, power:
         sums = np.bincount(members[-1], tokens, len(values)) / max(total, 1.0)
         goal = targets[name] if targets and name in targets else tempered(dict(zip(values, sums, strict=True)), power)
         goals.append(np.array([goal.get(v, 0.0) for v in values], float))
-    weights = rake(tokens, members, goals, budget)
+    weights = rake(tokens, members, goals, budget, cycles)
     p = np.divide(weights, tokens, out=np.ones_like(weights), where=tokens > 0)
     found = [(*(r[name] for name in DIMENSIONS), float(x)) for r, x in zip(rows, p, strict=True)]
     return spark.createDataFrame(found, cells.select(*DIMENSIONS).withColumn("probability", F.lit(0.0)).schema)
