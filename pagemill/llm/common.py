@@ -19,6 +19,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_PRIME, _PRIME_BASE = (1 << 31) - 1, 1_103_515_245
 _POWERS: dict[str, np.ndarray] = {}
 _RUN_DIRS: set[str] = set()
 
@@ -78,6 +79,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_PRIME_CODES = (_BYTE_CODES % np.uint64(_PRIME)).astype(np.int64)
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
@@ -92,17 +94,43 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     return have[:n]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums p with span_hash(p, s, e) a polynomial hash of data[s:e]."""
-    out = np.zeros(len(data) + 1, np.uint64)
+def prime_powers(n: int, inverse: bool = False) -> np.ndarray:
+    """The same modulo the prime 2**31 - 1."""
+    name = "prime inv" if inverse else "prime pow"
+    have = _POWERS.get(name)
+    if have is None or len(have) < n:
+        size = 1 << max((n - 1).bit_length(), 18)
+        base = pow(_PRIME_BASE, -1, _PRIME) if inverse else _PRIME_BASE
+        have = np.ones(1, np.int64)
+        while len(have) < size:
+            have = np.concatenate([have, have * pow(base, len(have), _PRIME) % _PRIME])
+        _POWERS[name] = have
+    return have[:n]
+
+
+Prefix = tuple[np.ndarray, np.ndarray]
+
+
+def prefix_hash(data: np.ndarray) -> Prefix:
+    """Prefix sums p with span_hash(p, s, e) a polynomial hash of data[s:e]: modulo 2**64 and modulo a prime. The power of two alone
+    would take some strings of 1,024 and more bytes for equal (Thue-Morse); the prime tells them apart."""
+    out, prime = np.zeros(len(data) + 1, np.uint64), np.zeros(len(data) + 1, np.int64)
     np.cumsum(_BYTE_CODES[data] * powers(len(data)), out=out[1:])
-    return out
+    np.cumsum(_PRIME_CODES[data] * prime_powers(len(data)) % _PRIME, out=prime[1:])
+    return out, prime
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(prefix: Prefix, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of the byte spans [start, end); equal spans have equal hashes wherever they are."""
-    inv = powers(len(prefix), inverse=True)
-    return mix((prefix[end] - prefix[start]) * inv[start] + (end - start).astype(np.uint64))
+    inv, prime_inv = powers(len(prefix[0]), inverse=True), prime_powers(len(prefix[0]), inverse=True)
+    second = (prefix[1][end] - prefix[1][start]) % _PRIME * prime_inv[start] % _PRIME
+    return mix((prefix[0][end] - prefix[0][start]) * inv[start] + (end - start).astype(np.uint64)) ^ mix(second.astype(np.uint64) + np.uint64(1))
+
+
+def short_span_hash(prefix: Prefix, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The part of span_hash modulo 2**64 alone, for spans of well under 1,024 bytes."""
+    inv = powers(len(prefix[0]), inverse=True)
+    return mix((prefix[0][end] - prefix[0][start]) * inv[start] + (end - start).astype(np.uint64))
 
 
 def text_chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

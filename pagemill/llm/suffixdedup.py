@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import mix, prefix_hash, span_hash, stored, text_chunks
+from pagemill.llm.common import keyed, mix, prefix_hash, short_span_hash, span_hash, stored, text_chunks
 
 _POSITION = np.uint64(0xFFFFFF)
 
@@ -41,7 +41,7 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.
         return empty
     prefix = prefix_hash(data)
     at = np.arange(n)
-    grams = span_hash(prefix, at, at + k)
+    grams = (short_span_hash if k < 512 else span_hash)(prefix, at, at + k)
     keys = np.full(-(-n // span) * span, np.uint64(0xFFFFFFFFFFFFFFFF))
     keys[:n] = (grams & ~_POSITION) | at.astype(np.uint64)
     blocks = keys.reshape(-1, span)
@@ -110,7 +110,7 @@ def _groups(length: int):
                 first, more, single = (runs.field(f).to_numpy(zero_copy_only=False) for f in ("at", "more", "single"))
                 prefix = prefix_hash(data)
                 at = np.arange(len(data) - k + 1)
-                grams = span_hash(prefix, at, at + k) & ~_POSITION
+                grams = (short_span_hash if k < 512 else span_hash)(prefix, at, at + k) & ~_POSITION
                 anchor = np.array([p + grams[p : p + span].argmin() for p in first])
                 base = anchor - 8 * (span // 8 + 1)
                 j0, j1 = (first - base) // 8, (first + more - base) // 8
@@ -194,8 +194,9 @@ def _cut(members: Members | None = None):
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     """(doc, start, end) of byte stretches of docs (doc, text) that are covered by repeated strings; they may overlap."""
-    occurrences = docs.mapInArrow(_anchors(length), "h long, sw long, doc long, at long, more int")
-    again = occurrences.groupBy("h").count().where("count > 1").select("h")
+    occurrences = stored(docs.mapInArrow(_anchors(length), "h long, sw long, doc long, at long, more int"))
+    # Stored, so that both sides of the join are plain exchanges and the adaptive skew join can split a hot rank.
+    again = stored(occurrences.groupBy("h").count().where("count > 1").select("h"))
     shared = stored(occurrences.join(again, "h"))
     classes = shared.groupBy("h", "sw").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at", "more")).alias("one"))
     classes = stored(classes)
@@ -229,9 +230,9 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     if length < 8 or length % 4:
         raise ValueError("length is a multiple of 4, at least 8")
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    given = given.withColumn("doc", F.coalesce("doc_id", F.xxhash64("text")))
+    given = keyed(given)
     found = repeated_spans(given.select("doc", "text"), length)
-    spans = stored(found.groupBy("doc").agg(F.array_distinct(F.collect_list(F.struct("start", "end"))).alias("spans")))
+    spans = stored(found.distinct().groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
     members = Members(spans.select("doc"))
     none = given.mapInArrow(_cut(docs.sparkSession.sparkContext.broadcast(members)), kinds)
