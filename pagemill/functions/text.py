@@ -34,19 +34,52 @@ def fold_text(text: str) -> str:
     return unicodedata.normalize("NFC", wide)
 
 
+#: Characters that folding may change, as a class: all but ASCII and the letters of the Latin blocks, which are composed already.
+MAY_FOLD = "[^\\x00-\\u009F\\u00A1-\\u00AC\\u00AE-\\u024F]"
+
+
 def fold(text: Column) -> Column:
-    """Matching form of a text; plain ASCII never leaves the JVM path's value."""
+    """Matching form of a text. Only texts with characters that it may change are sent to Python, the others as nulls."""
 
     @F.pandas_udf(StringType())
     def folded(values: pd.Series) -> pd.Series:
         return values.map(fold_text, na_action="ignore")
 
-    return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(folded(text))
+    return F.coalesce(folded(F.when(text.rlike(MAY_FOLD), text)), text)
+
+
+def fold_letters(letters: list[str]) -> list[str]:
+    """Each letter's matching form; a mark is composed with the letter before it that is not empty, and leaves an empty one."""
+    out: list[str] = []
+    for letter in letters:
+        form, last = fold_text(letter), next((i for i in range(len(out) - 1, -1, -1) if out[i]), None)
+        if last is not None and form and all(unicodedata.combining(c) for c in form):
+            out[last], form = fold_text(out[last] + form), ""
+        out.append(form)
+    return out
+
+
+def folded_with_places(text: Column) -> Column:
+    """struct(folded, at): the matching form and, for every character of it, the 1-based place of its letter; `at` is null where nothing
+    changes, and then places are those of the text."""
+
+    @F.pandas_udf("folded string, at array<int>")
+    def spread(values: pd.Series) -> pd.DataFrame:
+        rows = []
+        for value in values:
+            if value is None:
+                rows.append((None, None))
+                continue
+            forms = fold_letters(list(value))
+            rows.append(("".join(forms), [i + 1 for i, form in enumerate(forms) for _ in form]))
+        return pd.DataFrame(rows, columns=["folded", "at"])
+
+    return spread(F.when(text.rlike(MAY_FOLD), text))
 
 
 def redaction_form(text: Column) -> Column:
-    """Quotes and dashes unified, trimmed, white space collapsed."""
-    plain = F.translate(F.translate(text, QUOTES, "'" * len(QUOTES)), DASHES, "-" * len(DASHES))
+    """Folded, quotes and dashes unified, trimmed, white space collapsed."""
+    plain = F.translate(F.translate(fold(text), QUOTES, "'" * len(QUOTES)), DASHES, "-" * len(DASHES))
     return F.regexp_replace(F.trim(plain), r"\s+", " ")
 
 

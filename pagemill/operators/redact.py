@@ -37,6 +37,20 @@ def segments(flagged: DataFrame, keys: list[str]) -> DataFrame:
     return runs.select(*keys, "segment_no", (F.col("_fate") == "kept").alias("kept"), F.when(F.col("_fate") == "kept", "None").otherwise(F.col("_fate")).alias("overlap"), "start", "stop", "text")
 
 
+def line_segments(lines: DataFrame, area: Column, strategy: str = "AnyOverlap") -> DataFrame:
+    """The same runs from rows that hold a line's letters as an array (see layout.line_letters): no shuffle, no row for each letter."""
+    fate = F.transform("letters", lambda x: F.when(G.removed(x["box"], area, strategy), G.overlap_type(x["box"], area)).otherwise("kept"))
+    fated = lines.withColumn("_f", fate)
+    size = F.size("_f")
+    every = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    cut = fated.withColumn("_s", F.filter(every, lambda i: (i == 0) | (F.get("_f", i) != F.get("_f", i - 1))))
+    runs = F.transform("_s", lambda first, k: F.struct((k + 1).cast("long").alias("no"), F.get("_f", first).alias("fate"), first.alias("start"), F.coalesce(F.get("_s", k + 1), size).alias("stop")))
+    out = cut.select("doc_id", "line_no", "letters", F.explode(runs).alias("x"))
+    kept = F.col("x.fate") == "kept"
+    text = F.array_join(F.transform(F.slice("letters", F.col("x.start") + 1, F.col("x.stop") - F.col("x.start")), lambda v: v["value"]), "")
+    return out.select("doc_id", "line_no", F.col("x.no").alias("segment_no"), kept.alias("kept"), F.when(kept, "None").otherwise(F.col("x.fate")).alias("overlap"), F.col("x.start").alias("start"), F.col("x.stop").alias("stop"), text.alias("text"))
+
+
 def redacted_lines(lines: DataFrame, term: str, mark: str = "█") -> DataFrame:
     """lines with n_matches and redacted: every letter of every match becomes a mark; matches may overlap and case counts."""
     n = len(term)
@@ -48,17 +62,17 @@ def redacted_lines(lines: DataFrame, term: str, mark: str = "█") -> DataFrame:
 
 
 def redact_all(docs: DataFrame, terms: list[str], passes: int = 10) -> DataFrame:
-    """(doc_id, redacted, n_removed): terms cut out pass after pass until none is left or `passes` have run, in one plan.
+    """(doc_id, redacted, n_removed, n_left): terms cut out pass after pass until none is left or `passes` have run.
 
-    Cutting can join letters to a new match, hence the passes; a pass over a clean text changes nothing.
+    Cutting can join letters to a new match, hence the passes; a pass over a clean text changes nothing. n_left is the number of terms that
+    are still there after the last pass, more than 0 only for a text that the passes did not finish.
     """
-    text, removed = F.col("text"), F.lit(0)
-    once = docs.select("doc_id", text.alias("text"), removed.alias("n_removed"))
-    for _ in range(passes if len(terms) else 0):
-        for term in terms:
-            shorter = F.replace(F.col("text"), F.lit(term), F.lit(""))
-            once = once.withColumn("_t", shorter).withColumn("n_removed", F.col("n_removed") + ((F.length("text") - F.length("_t")) / len(term)).cast("int")).withColumn("text", F.col("_t")).drop("_t")
-    return once.select("doc_id", F.col("text").alias("redacted"), "n_removed")
+    wanted = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
+    cut = lambda s, term: F.struct(F.replace(s["t"], term, F.lit("")).alias("t"), (s["n"] + ((F.length(s["t"]) - F.length(F.replace(s["t"], term, F.lit("")))) / F.length(term)).cast("int")).alias("n"))
+    start = F.struct(F.col("text").alias("t"), F.lit(0).alias("n"))
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(max(passes, 1))), start, lambda s, _: F.aggregate(wanted, s, cut))
+    out = docs.select("doc_id", done.alias("_x")).select("doc_id", F.col("_x.t").alias("redacted"), F.col("_x.n").alias("n_removed"))
+    return out.withColumn("n_left", F.coalesce(F.size(F.filter(wanted, lambda term: F.contains(F.col("redacted"), term))), F.lit(0)))
 
 
 def scrubbed(rows: DataFrame, columns: list[str], terms: list[str], emptied: str | None = None) -> DataFrame:

@@ -10,11 +10,20 @@ from pagemill.sources.layout import text_lines
 
 
 def substring_matches(lines: DataFrame, term: str, ignore_case: bool = True, overlapping: bool = False) -> DataFrame:
-    """lines (…, text) with one row for each match: start (1-based) and length."""
-    haystack = F.lower("text") if ignore_case else F.col("text")
-    needle = term.lower() if ignore_case else term
-    hits = lines.where(F.contains(haystack, F.lit(needle)))
-    return hits.select(*lines.columns, F.explode(T.positions(haystack, needle, overlapping)).alias("start")).withColumn("length", F.lit(len(term)))
+    """lines (…, text) with one row for each match: start (1-based) and length in the text as it is.
+
+    Text and term are compared in their matching form, so ligatures, presentation forms, marks and ignorable characters do not hide a match.
+    """
+    needle = T.fold_text(term)
+    needle = needle.lower() if ignore_case else needle
+    n = len(needle)
+    spread = lines.withColumn("_f", T.folded_with_places(F.col("text"))).withColumn("_h", F.coalesce("_f.folded", "text"))
+    haystack = F.lower("_h") if ignore_case else F.col("_h")
+    hits = spread.where(F.contains(haystack, F.lit(needle))).withColumn("_s", F.explode(T.positions(haystack, needle, overlapping)))
+    at, last = F.col("_f.at"), F.length("text") + 1
+    start = F.coalesce(F.get(at, F.col("_s") - 1), F.col("_s"))
+    stop = F.when(at.isNull(), F.col("_s") + n).otherwise(F.coalesce(F.get(at, F.col("_s") + n - 1), last))
+    return hits.select(*lines.columns, start.alias("start"), (stop - start).alias("length"))
 
 
 def search(docs: DataFrame, term: str, ignore_case: bool = True, width: int = 30) -> DataFrame:
@@ -34,5 +43,7 @@ def search(docs: DataFrame, term: str, ignore_case: bool = True, width: int = 30
 
 
 def regex_matches(lines: DataFrame, pattern: str) -> DataFrame:
-    """lines with one row for each match of a regular expression: its number in the line (from 0) and its text."""
-    return lines.where(F.col("text").rlike(pattern)).select(*lines.columns, F.posexplode(F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1))).alias("match_no", "matched"))
+    """lines with one row for each match of a regular expression in the matching form: its number in the line (from 0) and its text."""
+    pattern = T.fold_text(pattern)
+    folded = lines.withColumn("_h", T.fold(F.col("text")))
+    return folded.where(F.col("_h").rlike(pattern)).select(*lines.columns, F.posexplode(F.regexp_extract_all("_h", F.lit(f"({pattern})"), F.lit(1))).alias("match_no", "matched"))

@@ -27,6 +27,27 @@ def words_from_letters(letters: DataFrame, step: float = BASELINE_STEP, gap: flo
     return numbered.groupBy("doc_id", "page_no", "word_no").agg(F.min("line_no").alias("line_no"), F.min("col").alias("first_col"), text.alias("text"), G.bounding("box").alias("box"))
 
 
+def words_from_lines(lines: DataFrame, gap: float = GAP) -> DataFrame:
+    """The same words from rows that hold a line's letters as an array (see layout.line_letters), without a row for each letter.
+
+    Lines are farther apart than BASELINE_STEP, so the first letter of a line starts a word. Only words are exploded; their numbers in the page
+    come from a window over them.
+    """
+    box, value = lambda i: F.get("letters", i)["box"], lambda i: F.get("letters", i)["value"]
+    blank = lambda i: value(i).rlike(r"^\s$")
+    size = F.size("letters")
+    every = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    fresh = lambda i: ~blank(i) & ((i == 0) | blank(i - 1) | (box(i)["l"] - box(i - 1)["r"] > gap))
+    starts = lines.withColumn("_s", F.filter(every, fresh))
+    spans = F.transform("_s", lambda first, k: F.struct(first.alias("first"), F.slice("letters", first + 1, F.coalesce(F.get("_s", k + 1), size) - first).alias("own")))
+    found = starts.select("doc_id", "page_no", "line_no", F.explode(spans).alias("_w")).select("doc_id", "page_no", "line_no", F.col("_w.first").alias("first_col"), F.filter("_w.own", lambda x: ~x["value"].rlike(r"^\s$")).alias("_own"))
+    side = lambda best, name: best(F.transform("_own", lambda x: x["box"][name]))
+    bounds = G.rect(side(F.array_min, "l"), side(F.array_min, "b"), side(F.array_max, "r"), side(F.array_max, "t"))
+    order = Window.partitionBy("doc_id", "page_no").orderBy("line_no", "first_col")
+    text = F.array_join(F.transform("_own", lambda x: x["value"]), "")
+    return found.select("doc_id", "page_no", F.row_number().over(order).cast("long").alias("word_no"), "line_no", "first_col", text.alias("text"), bounds.alias("box"))
+
+
 def line_words(lines: DataFrame) -> DataFrame:
     """(…, word_no, start, word) of each line's runs of non-blanks, natively from its text; start is 1-based."""
     parts = F.split("text", r"\s", -1)
@@ -37,7 +58,7 @@ def line_words(lines: DataFrame) -> DataFrame:
 
 def whole_word_matches(words: DataFrame, term: str) -> DataFrame:
     """Words that equal the term after folding of case and edge punctuation, with a context of the word alone."""
-    return words.where(F.lower(T.trim_edges(F.col("text"))) == term.lower()).withColumn("context", F.concat(F.lit("..."), F.col("text"), F.lit("...")))
+    return words.where(F.lower(T.trim_edges(T.fold(F.col("text")))) == T.fold_text(term).lower()).withColumn("context", F.concat(F.lit("..."), F.col("text"), F.lit("...")))
 
 
 def spans_of_matches(matches: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:

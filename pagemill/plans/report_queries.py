@@ -110,10 +110,10 @@ def cluster_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.clusters(scan(spark, sf_dir), ["source", "status", "compared"], F.col("path"))
 
 
-@register("a15_blast_radius", "SELECT t AS feature, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(string_split(substr(text, 1, 200), ' ')) AS t FROM documents) GROUP BY 1")
+@register("a15_blast_radius", "SELECT t AS feature, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS t FROM documents) GROUP BY 1")
 def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In how many documents each word of a text's head occurs."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.substring("text", 1, 200), " "))).alias("feature"))
+    """In how many documents each word occurs."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("feature"))
     return words.groupBy("feature").agg(F.count("*").alias("docs"))
 
 
@@ -263,12 +263,12 @@ def unmet_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return needs.select(F.explode("needed").alias("feature")).distinct().join(files.select(F.explode("features").alias("feature")), "feature", "left_anti")
 
 
-@register("k15_validation", "SELECT doc_id, count(*) AS n, bool_or(lang NOT IN ('en', 'de', 'fr', 'es')) AS bad_lang, bool_or(text IS NULL OR length(text) <> n_chars) AS bad_length FROM documents GROUP BY doc_id HAVING count(*) > 1 OR bool_or(lang NOT IN ('en', 'de', 'fr', 'es')) OR bool_or(text IS NULL OR length(text) <> n_chars)")
+@register("k15_validation", "SELECT md5(text) AS digest, count(*) AS n, bool_or(lang NOT IN ('en', 'de', 'fr', 'es')) AS bad_lang, bool_or(text IS NULL OR length(text) <> n_chars) AS bad_length FROM documents GROUP BY 1 HAVING count(*) > 1 OR bool_or(lang NOT IN ('en', 'de', 'fr', 'es')) OR bool_or(text IS NULL OR length(text) <> n_chars)")
 def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that repeat a key, have an unknown language, or a length that differs from their text's."""
+    """Texts that occur twice, have an unknown language, or a length that differs from their text's."""
     bad_lang = F.bool_or(~F.col("lang").isin("en", "de", "fr", "es"))
     bad_length = F.bool_or(F.col("text").isNull() | (F.length("text") != F.col("n_chars")))
-    return table(spark, sf_dir, "documents").groupBy("doc_id").agg(F.count("*").alias("n"), bad_lang.alias("bad_lang"), bad_length.alias("bad_length")).where("n > 1 or bad_lang or bad_length")
+    return table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"), bad_lang.alias("bad_lang"), bad_length.alias("bad_length")).where("n > 1 or bad_lang or bad_length")
 
 
 @register("k16_headings", "SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading FROM pages WHERE regexp_matches(html, '<h1>[^<]*</h1>')")
@@ -299,11 +299,11 @@ def newest_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", "x.event_id", "x.event_type")
 
 
-@register("s7_discovery", f"WITH {_SCAN}, r AS (SELECT path, row_number() OVER (PARTITION BY source ORDER BY path) - 1 AS n FROM scan) SELECT path, CAST(n AS INTEGER) AS position FROM r WHERE n % 4 = 1")
+@register("s7_discovery", f"WITH {_SCAN}, r AS (SELECT path, row_number() OVER (PARTITION BY source ORDER BY path) - 1 AS n FROM scan) SELECT path, CAST(n AS INTEGER) AS position, CAST(n % 4 AS INTEGER) AS chunk FROM r")
 def discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fourth path of each source in ordinal order: one chunk of four."""
+    """The paths of each source in ordinal order, dealt over four chunks."""
     position = (F.row_number().over(Window.partitionBy("source").orderBy("path")) - 1).cast("int")
-    return scan(spark, sf_dir).select("path", position.alias("position")).where("position % 4 = 1")
+    return scan(spark, sf_dir).select("path", position.alias("position"), (position % 4).alias("chunk"))
 
 
 @register("s10_last_wins", "SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")

@@ -60,10 +60,23 @@ def overlapping_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact.redacted_lines(lines, "ere", "#").select("doc_id", "line_no", "n_matches", "redacted")
 
 
-@register("c8_document_redaction")
+_CUT = ["idiot", "moron", "anan"]
+
+
+def _cut_sql(passes: int = 10) -> str:
+    steps, n = ["s0 AS (SELECT doc_id, text AS t, 0 AS n FROM documents)"], 0
+    for _ in range(passes):
+        for term in _CUT:
+            steps.append(f"s{n + 1} AS (SELECT doc_id, replace(t, '{term}', '') AS t, n + (length(t) - length(replace(t, '{term}', ''))) // {len(term)} AS n FROM s{n})")
+            n += 1
+    left = " + ".join(f"CASE WHEN contains(t, '{term}') THEN 1 ELSE 0 END" for term in _CUT)
+    return f"WITH {', '.join(steps)} SELECT doc_id, t AS redacted, CAST(n AS INTEGER) AS n_removed, CAST({left} AS INTEGER) AS n_left FROM s{n}"
+
+
+@register("c8_document_redaction", _cut_sql())
 def document_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without a few terms, pass after pass."""
-    return redact.redact_all(_docs(spark, sf_dir), ["idiot", "moron", "anan"], passes=3)
+    return redact.redact_all(_docs(spark, sf_dir), _CUT)
 
 
 @register("c15_term_scrub", """SELECT doc_id, CASE WHEN s = '' AND text <> '' THEN '[redacted]' ELSE s END AS text FROM (
@@ -83,7 +96,7 @@ def term_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, page_no, CAST(count(DISTINCT word_no) AS BIGINT) AS n_words, CAST(count(*) AS BIGINT) AS n_letters, CAST(sum(word_no * (col + 1)) AS BIGINT) AS checksum FROM numbered WHERE NOT space GROUP BY doc_id, page_no""")
 def word_building(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every page, built from letters by gaps."""
-    found = words.words_from_letters(layout.letters(_docs(spark, sf_dir)))
+    found = words.words_from_lines(layout.line_letters(_docs(spark, sf_dir)))
     n = F.length("text").cast("long")
     first = F.col("first_col").cast("long") + 1
     places = F.col("word_no") * (n * first + n * (n - 1) / 2)
@@ -139,7 +152,7 @@ SELECT doc_id, line_no, CAST(segment_no AS BIGINT) AS segment_no, fate = 'kept'
 FROM n GROUP BY doc_id, line_no, segment_no, fate""")
 def keep_remove_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of letters of each line with one fate under area redaction."""
-    return redact.segments(redact.removal_flags(layout.letters(_docs(spark, sf_dir)), _area(140, 420, 323, 605)), ["doc_id", "line_no"])
+    return redact.line_segments(layout.line_letters(_docs(spark, sf_dir)), _area(140, 420, 323, 605))
 
 
 @register("f5_redaction_form", """SELECT doc_id, md5(regexp_replace(trim(replace(replace(replace(text, '’', ''''), '–', '-'), '—', '-')), '\\s+', ' ', 'g')) AS digest FROM documents""")
@@ -148,7 +161,7 @@ def redaction_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.md5(T.redaction_form(F.col("text"))).alias("digest"))
 
 
-@register("f1_fold")
+@register("f1_fold", """SELECT doc_id, md5(nfc_normalize(replace(replace(replace(replace(replace(replace(text, chr(160), ' '), chr(173), ''), chr(8203), ''), chr(8204), ''), chr(8205), ''), chr(65279), ''))) AS digest FROM documents""")
 def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of each text's folded form."""
     return _docs(spark, sf_dir).select("doc_id", F.md5(T.fold(F.col("text"))).alias("digest"))

@@ -33,3 +33,11 @@ def letters(docs: DataFrame, keep_spaces: bool = True) -> DataFrame:
         found = found.where("value <> ' '")
     left, bottom = 72 + 6 * F.col("col"), 720 - 12 * F.col("row")
     return found.select("doc_id", "page_no", "line_no", "col", "value", rect(left, bottom, left + 5, bottom + 10).alias("box"))
+
+
+def line_letters(docs: DataFrame) -> DataFrame:
+    """(doc_id, page_no, line_no, row, letters): the letters of each line as an array of (value, box), place i in column i."""
+    values = F.filter(F.split("text", ""), lambda v: v != "")
+    bottom = 720 - 12 * F.col("row")
+    boxed = F.transform(values, lambda v, i: F.struct(v.alias("value"), rect(72 + 6 * i, bottom, 77 + 6 * i, bottom + 10).alias("box")))
+    return text_lines(docs).select("doc_id", "page_no", "line_no", "row", boxed.alias("letters"))
