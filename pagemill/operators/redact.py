@@ -32,25 +32,11 @@ def segments(flagged: DataFrame, keys: list[str]) -> DataFrame:
     fate = F.when(F.col("removed"), F.col("overlap")).otherwise("kept")
     flipped = flagged.withColumn("_fate", fate).withColumn("_new", F.coalesce((F.col("_fate") != F.lag("_fate").over(order)).cast("int"), F.lit(1)))
     numbered = flipped.withColumn("segment_no", F.sum("_new").over(order))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda x: x["value"]), "")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col", "value"))), lambda x: x["value"]), "")
     runs = numbered.groupBy(*keys, "segment_no", "_fate").agg(F.min("col").alias("start"), (F.max("col") + 1).alias("stop"), text.alias("text"))
     return runs.select(*keys, "segment_no", (F.col("_fate") == "kept").alias("kept"), F.when(F.col("_fate") == "kept", "None").otherwise(F.col("_fate")).alias("overlap"), "start", "stop", "text")
 
 
-def line_segments(lines: DataFrame, area: Column, strategy: str = "AnyOverlap") -> DataFrame:
-    """The same runs from rows that hold a line's letters as an array (see layout.line_letters): no shuffle, no row for each letter."""
-    fate = F.transform("letters", lambda x: F.when(G.removed(x["box"], area, strategy), G.overlap_type(x["box"], area)).otherwise("kept"))
-    fated = lines.withColumn("_f", fate)
-    size = F.size("_f")
-    every = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
-    cut = fated.withColumn("_s", F.filter(every, lambda i: (i == 0) | (F.get("_f", i) != F.get("_f", i - 1))))
-    runs = F.transform("_s", lambda first, k: F.struct((k + 1).cast("long").alias("no"), F.get("_f", first).alias("fate"), first.alias("start"), F.coalesce(F.get("_s", k + 1), size).alias("stop")))
-    out = cut.select("doc_id", "line_no", "letters", F.explode(runs).alias("x"))
-    kept = F.col("x.fate") == "kept"
-    text = F.array_join(F.transform(F.slice("letters", F.col("x.start") + 1, F.col("x.stop") - F.col("x.start")), lambda v: v["value"]), "")
-    return out.select("doc_id", "line_no", F.col("x.no").alias("segment_no"), kept.alias("kept"), F.when(kept, "None").otherwise(F.col("x.fate")).alias("overlap"), F.col("x.start").alias("start"), F.col("x.stop").alias("stop"), text.alias("text"))
-
-
 def redacted_lines(lines: DataFrame, term: str, mark: str = "█") -> DataFrame:
     """lines with n_matches and redacted: every letter of every match becomes a mark; matches may overlap and case counts."""
     n = len(term)

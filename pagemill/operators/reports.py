@@ -137,3 +137,40 @@ def improvement_priority(status: Column) -> Column:
 
 def confidence(status: Column, compared: Column) -> Column:
     return F.when(status == "PASS", "HIGH").when(status == "PASS_ONE", F.when(compared >= 3, "MEDIUM").otherwise("LOW")).otherwise("MEDIUM")
+
+
+#: Raw statuses of malformed inputs, and the markers of contracts that nobody has reviewed.
+MALFORMED = ("RECOVERED_MALFORMED_CONTENT", "MALFORMED_PDF", "EMPTY_DOC", "INVALID_PAGE_GEOMETRY")
+UNREVIEWED = ("GENERATED", "NEEDS_REVIEW")
+
+
+def given(*values: Column) -> Column:
+    """The first value that is not blank: a page's own, else its contract's, else what is inferred."""
+    return F.coalesce(*(F.when(F.trim(v) != "", v) for v in values))
+
+
+def outlier(compared: Column, agreeing: Column, pairs: Column, disagreeing: Column, rank: Column) -> Column:
+    """Of three or more references, one alone agrees although no pair of them disagrees, or at most one does and the rank is third or worse."""
+    alone = (agreeing == 1) & (pairs > 0) & (disagreeing == 0)
+    return (compared >= 3) & (alone | ((agreeing <= 1) & (rank >= 3)))
+
+
+def pixel_agreement(status: Column, best: Column, primary: Column, agreeing: Column) -> Column:
+    one = F.when(best == primary, "MATCHES_TARGET").when(agreeing == 1, "MATCHES_ONE_REFERENCE").otherwise("MATCHES_SOME")
+    return F.when(status == "PASS", "MATCHES_ALL_REQUIRED").when(status == "PASS_ONE", one).when(status == "DIFF", "MATCHES_NONE").otherwise("NOT_COMPARABLE")
+
+
+def target_basis(status: Column) -> Column:
+    found = F.when(status.isin(*MALFORMED), "MALFORMED_INPUT_POLICY").when(status.isin("RESOURCE_LIMIT", "TIMEOUT"), "RESOURCE_POLICY")
+    return found.when(status == "ALL_ORACLES_REFUSED", "QUALITY_STANDARD").when(status == "PASS_ONE", "REFERENCE_DISAGREEMENT").otherwise("REFERENCE_CONSENSUS")
+
+
+def pass_one_review(status: Column, quality: Column, has_contract: Column, review: Column, is_outlier: Column, target: Column, reason: Column) -> Column:
+    """accepted only when somebody reviewed it, or when a contract without a marker gives a target and a reason and nothing is odd."""
+    found = F.when(status != "PASS_ONE", "N/A").when(quality == "FAIL", "rejected").when(~has_contract, "unreviewed").when(review == "REVIEWED", "accepted")
+    return found.when(review.isin(*UNREVIEWED) | is_outlier | (F.coalesce(target, F.lit("")) == "") | (F.coalesce(reason, F.lit("")) == ""), "unreviewed").otherwise("accepted")
+
+
+def release_status(override: Column, status: Column, has_contract: Column, review: Column, strict: bool = False) -> Column:
+    found = F.when(F.lit(strict) & ~has_contract, "NEEDS_REVIEW").when((status == "PASS_ONE") & (review == "unreviewed"), "NEEDS_REVIEW").otherwise("PASS")
+    return given(override, found)

@@ -18,34 +18,15 @@ def words_from_letters(letters: DataFrame, step: float = BASELINE_STEP, gap: flo
     A white-space letter ends a word and is dropped, but the next letter's gap is still measured from it.
     """
     order = Window.partitionBy("doc_id", "page_no").orderBy("line_no", "col")
-    space = F.col("value").rlike(r"^\s$")
-    before, blank = F.lag("box").over(order), F.lag(space).over(order)
-    fresh = before.isNull() | blank | (F.abs(F.col("box.b") - before["b"]) > step) | (F.col("box.l") - before["r"] > gap)
-    flagged = letters.withColumn("_space", space).withColumn("_new", (fresh & ~space).cast("int"))
+    flat = letters.select("doc_id", "page_no", "line_no", "col", "value", *(F.col(f"box.{side}").alias(side) for side in "lbrt"))
+    flat = flat.withColumn("_space", F.col("value").rlike(r"^\s$"))
+    b, r, blank = (F.lag(name).over(order) for name in ("b", "r", "_space"))
+    fresh = b.isNull() | blank | (F.abs(F.col("b") - b) > step) | (F.col("l") - r > gap)
+    flagged = flat.withColumn("_new", (fresh & ~F.col("_space")).cast("int"))
     numbered = flagged.withColumn("word_no", F.sum("_new").over(order)).where("not _space")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "col", "value"))), lambda x: x["value"]), "")
-    return numbered.groupBy("doc_id", "page_no", "word_no").agg(F.min("line_no").alias("line_no"), F.min("col").alias("first_col"), text.alias("text"), G.bounding("box").alias("box"))
-
-
-def words_from_lines(lines: DataFrame, gap: float = GAP) -> DataFrame:
-    """The same words from rows that hold a line's letters as an array (see layout.line_letters), without a row for each letter.
-
-    Lines are farther apart than BASELINE_STEP, so the first letter of a line starts a word. Only words are exploded; their numbers in the page
-    come from a window over them.
-    """
-    box, value = lambda i: F.get("letters", i)["box"], lambda i: F.get("letters", i)["value"]
-    blank = lambda i: value(i).rlike(r"^\s$")
-    size = F.size("letters")
-    every = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
-    fresh = lambda i: ~blank(i) & ((i == 0) | blank(i - 1) | (box(i)["l"] - box(i - 1)["r"] > gap))
-    starts = lines.withColumn("_s", F.filter(every, fresh))
-    spans = F.transform("_s", lambda first, k: F.struct(first.alias("first"), F.slice("letters", first + 1, F.coalesce(F.get("_s", k + 1), size) - first).alias("own")))
-    found = starts.select("doc_id", "page_no", "line_no", F.explode(spans).alias("_w")).select("doc_id", "page_no", "line_no", F.col("_w.first").alias("first_col"), F.filter("_w.own", lambda x: ~x["value"].rlike(r"^\s$")).alias("_own"))
-    side = lambda best, name: best(F.transform("_own", lambda x: x["box"][name]))
-    bounds = G.rect(side(F.array_min, "l"), side(F.array_min, "b"), side(F.array_max, "r"), side(F.array_max, "t"))
-    order = Window.partitionBy("doc_id", "page_no").orderBy("line_no", "first_col")
-    text = F.array_join(F.transform("_own", lambda x: x["value"]), "")
-    return found.select("doc_id", "page_no", F.row_number().over(order).cast("long").alias("word_no"), "line_no", "first_col", text.alias("text"), bounds.alias("box"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "col", "value"))), lambda x: x["value"]), "")
+    box = G.rect(F.min("l"), F.min("b"), F.max("r"), F.max("t"))
+    return numbered.groupBy("doc_id", "page_no", "word_no").agg(F.min("line_no").alias("line_no"), F.min("col").alias("first_col"), text.alias("text"), box.alias("box"))
 
 
 def line_words(lines: DataFrame) -> DataFrame:

@@ -212,6 +212,24 @@ def quality_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, sf_dir).select("path", R.quality_status(status, F.col("result"), F.lit(True)).alias("quality"), R.reference_situation(status, F.col("compared"), F.col("disagreeing")).alias("situation"), R.improvement_priority(status).alias("priority"), R.confidence(status, F.col("compared")).alias("confidence"))
 
 
+_REVIEW = _SCAN + """, r AS (SELECT *, compared - disagreeing AS agreeing, CASE WHEN doc_id % 2 = 0 THEN 'r1' ELSE 'r2' END AS best, CASE WHEN doc_id % 4 <> 3 THEN 'r1' END AS target, doc_id % 5 <> 0 AS has_contract,
+  CASE doc_id % 3 WHEN 0 THEN 'REVIEWED' WHEN 1 THEN 'GENERATED' ELSE '' END AS review, CASE WHEN n_chars % 2 = 0 THEN 'known' END AS reason, CASE WHEN doc_id % 17 = 0 THEN 'BLOCKED' ELSE ' ' END AS override, doc_id % 4 AS rank FROM scan),
+o AS (SELECT *, compared >= 3 AND ((agreeing = 1 AND compared > 0 AND disagreeing = 0) OR (agreeing <= 1 AND rank >= 3)) AS outlier FROM r),
+v AS (SELECT *, CASE WHEN status <> 'PASS_ONE' THEN 'N/A' WHEN result = 'FAIL' THEN 'rejected' WHEN NOT has_contract THEN 'unreviewed' WHEN review = 'REVIEWED' THEN 'accepted' WHEN review IN ('GENERATED', 'NEEDS_REVIEW') OR outlier OR coalesce(target, '') = '' OR coalesce(reason, '') = '' THEN 'unreviewed' ELSE 'accepted' END AS pass_one FROM o)"""
+
+
+@register("c21_review", f"""WITH {_REVIEW} SELECT path, outlier, pass_one, CASE WHEN trim(override) <> '' THEN override WHEN status = 'PASS_ONE' AND pass_one = 'unreviewed' THEN 'NEEDS_REVIEW' ELSE 'PASS' END AS release,
+  CASE status WHEN 'PASS' THEN 'MATCHES_ALL_REQUIRED' WHEN 'PASS_ONE' THEN CASE WHEN best = target THEN 'MATCHES_TARGET' WHEN agreeing = 1 THEN 'MATCHES_ONE_REFERENCE' ELSE 'MATCHES_SOME' END WHEN 'DIFF' THEN 'MATCHES_NONE' ELSE 'NOT_COMPARABLE' END AS agreement,
+  CASE status WHEN 'MALFORMED_PDF' THEN 'MALFORMED_INPUT_POLICY' WHEN 'PASS_ONE' THEN 'REFERENCE_DISAGREEMENT' ELSE 'REFERENCE_CONSENSUS' END AS basis FROM v""")
+def review_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is inferred of each page besides its quality: agreement, basis, outlier, review and release status."""
+    i, status = F.col("doc_id"), F.col("status")
+    rows = scan(spark, sf_dir).select("*", (F.col("compared") - F.col("disagreeing")).alias("agreeing"), F.when(i % 2 == 0, "r1").otherwise("r2").alias("best"), F.when(i % 4 != 3, "r1").alias("target"), (i % 5 != 0).alias("has_contract"), F.when(i % 3 == 0, "REVIEWED").when(i % 3 == 1, "GENERATED").otherwise("").alias("review"), F.when(F.col("n_chars") % 2 == 0, "known").alias("reason"), F.when(i % 17 == 0, "BLOCKED").otherwise(" ").alias("override"))
+    rows = rows.withColumn("outlier", R.outlier(F.col("compared"), F.col("agreeing"), F.col("compared"), F.col("disagreeing"), i % 4))
+    rows = rows.withColumn("pass_one", R.pass_one_review(status, F.col("result"), F.col("has_contract"), F.col("review"), F.col("outlier"), F.col("target"), F.col("reason")))
+    return rows.select("path", "outlier", "pass_one", R.release_status(F.col("override"), status, F.col("has_contract"), F.col("pass_one")).alias("release"), R.pixel_agreement(status, F.col("best"), F.col("target"), F.col("agreeing")).alias("agreement"), R.target_basis(status).alias("basis"))
+
+
 @register("k1_ratchet", f"""WITH {_SCAN}, f AS (SELECT path, 'own' AS metric, own AS floor, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE own - (doc_id % 5) / 100.0 END AS value FROM scan UNION ALL SELECT path, 'r1', r1, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE r1 END FROM scan)
 SELECT path, metric, CASE WHEN value IS NULL THEN 'MISSING' WHEN value < floor - 0.02 THEN 'REGRESSED' ELSE 'OK' END AS verdict FROM f""")
 def ratchet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,9 +289,14 @@ def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"), bad_lang.alias("bad_lang"), bad_length.alias("bad_length")).where("n > 1 or bad_lang or bad_length")
 
 
-@register("k16_headings", "SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading FROM pages WHERE regexp_matches(html, '<h1>[^<]*</h1>')")
+@register("k16_headings", """WITH h AS (SELECT page_id, unnest(list_transform(regexp_extract_all(html, '<(?:h1|p|li)>([^<]*)</', 1), lambda x, i: {'i': i, 'h': left(trim(regexp_replace(x, '\\s+', ' ', 'g')), 140)})) AS x FROM pages),
+first AS (SELECT page_id, x.h AS heading, min(x.i) AS place FROM h WHERE x.h <> '' GROUP BY 1, 2)
+SELECT page_id, heading, CAST(n AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY place) AS n FROM first) WHERE n <= 5""")
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").where(F.col("html").rlike("<h1>[^<]*</h1>")).select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("heading"))
+    """The first five different labels of each page, white space collapsed, at most 140 characters long (a limit of the report)."""
+    labels = F.transform(F.regexp_extract_all("html", F.lit("<(?:h1|p|li)>([^<]*)</"), F.lit(1)), lambda x: F.substring(F.trim(F.regexp_replace(x, r"\s+", " ")), 1, 140))
+    once = F.slice(F.array_distinct(F.filter(labels, lambda x: x != "")), 1, 5)
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(once).alias("_n", "heading")).select("page_id", "heading", (F.col("_n") + 1).alias("n"))
 
 
 @register("k18_merged_reports", f"WITH {_SCAN}, u AS (SELECT path, status, elapsed_ms FROM scan WHERE doc_id % 2 = 0 UNION ALL SELECT path, status, render_ms FROM scan WHERE doc_id % 2 = 1 UNION ALL SELECT 'chunk-' || (doc_id % 2), 'SCANNER_CRASH', NULL FROM scan WHERE doc_id IN (4, 5)) SELECT status, count(*) AS n, max(elapsed_ms) AS slowest FROM u GROUP BY 1")
