@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pagemill.llm import linededup, minhash, mixing, packing, toxicity
 from pagemill.llm.common import stored
 
-#: No stage but line dedup can be written in SQL, so the tests hold run() against brute-force versions.
+#: No stage but line dedup can be written in SQL. The tests hold the operators against brute force, and the stages' columns and packing.
 ORACLE_SQL = None
 
 
