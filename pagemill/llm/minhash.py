@@ -7,11 +7,12 @@ serve 66 tables. Two documents with similarity J meet in a table when at least t
 
 Copies with the same shingle set are one representative before any key is made. Within a bucket no pairs are expanded: every
 member is tested against a centre, linked ones become one component, and only buckets that still hold two components go on:
-with another centre, and in the end block by block, where every pair across components is compared in a task and only links leave it.
+with another centre, and in the end in blocks of bounded size, where every pair across components is compared in a task and only links leave it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import mix, shingle_sets, stored, text_chunks
+from pagemill.llm.common import keyed, mix, shingle_sets, stored, text_chunks
 from pagemill.llm.components import connected_components
 
-SKETCH = "doc_id long, n long, f1 long, f2 long, halves array<long>"
+SKETCH = "doc_id long, doc long, n long, f1 long, f2 long, halves array<long>"
 
 
 def _sketcher(k: int, collections: int, width: int):
@@ -31,8 +32,8 @@ def _sketcher(k: int, collections: int, width: int):
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for lo, hi, data, offsets in text_chunks(batch.column(1)):
+            ids, doc = batch.column("doc_id"), batch.column("doc")
+            for lo, hi, data, offsets in text_chunks(batch.column("text")):
                 sets = shingle_sets(data, offsets, k)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 f1, f2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
@@ -49,7 +50,7 @@ def _sketcher(k: int, collections: int, width: int):
                             part = mix(part ^ np.minimum.reduceat((flat ^ xors[w]) * factors[w], at))
                         halves[full, c] = part
                 lists = pa.ListArray.from_arrays(np.arange(0, halves.size + 1, collections, dtype=np.int32), halves.reshape(-1).view(np.int64))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(sizes), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists], names=["doc_id", "n", "f1", "f2", "halves"])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), doc.slice(lo, hi - lo), pa.array(sizes), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists], names=["doc_id", "doc", "n", "f1", "f2", "halves"])
 
     return sketch
 
@@ -88,8 +89,9 @@ def _compare_blocks(k: int, percent: int):
         """Links across components within a pair of blocks; of each document's links, the ones to other components' first."""
         for batch in batches:
             for row in range(batch.num_rows):
-                one, two = (batch.column(name)[row].values for name in ("one", "two"))
                 same = batch.column("same")[row].as_py()
+                one = batch.column("one")[row].values
+                two = one if same else batch.column("two")[row].values
                 x, y = sets_of(one), None if same else sets_of(two)
                 y = x if same else y
                 flat = np.concatenate(x if same else x + y)
@@ -123,21 +125,29 @@ def _compare_blocks(k: int, percent: int):
     return compare
 
 
-def _remaining_links(members: DataFrame, texts: DataFrame, k: int, percent: int, block_shingles: int = 100_000, block_rows: int = 512) -> DataFrame:
-    """All links across components that buckets allow: members that share buckets form a cluster, clusters are cut into blocks of
-    bounded size, and pairs of blocks are compared whole unless both hold one and the same component. Only links leave a task."""
-    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("first")).where("lo < hi")
-    left = stored(members.join(mixed.select("key", "first"), "key").groupBy("rep", "n", "component", "first").count().drop("count"))
-    clusters = connected_components(left.select("first", "rep"), "first", "rep")
-    nodes = left.select("rep", "n", "component").distinct().join(clusters.select(F.col("id").alias("rep"), F.col("component").alias("cluster")), "rep")
-    before = Window.partitionBy("cluster").orderBy("component", "rep").rowsBetween(Window.unboundedPreceding, 0)
-    block = F.greatest((F.sum("n").over(before) / block_shingles).cast("long"), (F.count("*").over(before) / block_rows).cast("long"))
-    nodes = nodes.withColumn("block", block).join(texts.withColumnRenamed("doc_id", "rep"), "rep")
-    blocks = stored(nodes.groupBy("cluster", "block").agg(F.collect_list(F.struct("rep", "component", "text")).alias("rows"), F.min("component").alias("lo"), F.max("component").alias("hi")))
-    one = blocks.select("cluster", F.col("block").alias("b1"), F.col("rows").alias("one"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
-    two = blocks.select("cluster", F.col("block").alias("b2"), F.col("rows").alias("two"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = one.join(two, "cluster").where("b1 <= b2 and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)")
-    return pairs.select("one", "two", (F.col("b1") == F.col("b2")).alias("same")).mapInArrow(_compare_blocks(k, percent), "a long, b long")
+def _remaining_links(members: DataFrame, texts: DataFrame, k: int, percent: int, block_shingles: int = 100_000, block_rows: int = 512, small: int = 64) -> DataFrame:
+    """All links across components that buckets allow. Buckets of at most `small` members with the same least member are one group (of at
+    most `small` members for each table), larger buckets with the same members are one group. A group that fits a block is compared whole. Others
+    are cut by size, in classes so wide that links reach the next class at most, and dealt by hash over blocks; only links leave a task."""
+    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("first"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("all")).where("lo < hi")
+    group = F.when(F.col("size") <= small, F.xxhash64(F.lit(0), "first")).otherwise(F.xxhash64(F.lit(1), "size", "all"))
+    left = stored(members.join(mixed.select("key", group.alias("group")), "key").groupBy("group", "rep", "n", "component").count().drop("count"))
+    fit = left.groupBy("group").agg(((F.count("*") <= block_rows) & (F.sum("n") <= block_shingles)).alias("fits"))
+    step = math.log(100 / percent) + 1e-6 if percent < 100 else 1e-6
+    nodes = left.join(fit, "group").withColumn("band", F.when(F.col("fits"), 0).otherwise(F.floor(F.log("n") / step)).cast("long"))
+    cut = nodes.groupBy("group", "band").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / block_shingles)).alias("parts"))
+    nodes = nodes.join(cut, ["group", "band"]).withColumn("part", F.when(F.col("fits"), 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("parts"))))
+    nodes = nodes.join(texts.select(F.col("doc").alias("rep"), "text"), "rep")
+    rows = F.collect_list(F.struct("rep", "component", "text")).alias("rows")
+    blocks = stored(nodes.groupBy("group", "band", "part", "fits").agg(rows, F.min("component").alias("lo"), F.max("component").alias("hi")))
+    whole = blocks.where("fits").select(F.col("rows").alias("one"), F.lit(None).cast(blocks.schema["rows"].dataType).alias("two"), F.lit(True).alias("same"))
+    one = blocks.where("not fits").select("group", F.col("band").alias("band1"), F.col("part").alias("part1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.explode(F.array("band", F.col("band") + 1)).alias("band2"))
+    two = blocks.where("not fits").select("group", F.col("band").alias("band2"), F.col("part").alias("part2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    meet = one.join(two, ["group", "band2"]).where("(band1 < band2 or part1 <= part2) and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)")
+    meet = meet.select("group", "band1", "part1", "band2", "part2", ((F.col("band1") == F.col("band2")) & (F.col("part1") == F.col("part2"))).alias("same"))
+    for side, name in ((1, "one"), (2, "two")):
+        meet = meet.join(blocks.where("not fits").select("group", F.col("band").alias(f"band{side}"), F.col("part").alias(f"part{side}"), F.col("rows").alias(name)), ["group", f"band{side}", f"part{side}"])
+    return whole.unionByName(meet.select("one", "two", "same")).mapInArrow(_compare_blocks(k, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, collections: int = 12, width: int = 3) -> DataFrame:
@@ -145,32 +155,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are runs of bytes other than space and \\x09-\\x0D with A-Z lower-cased. Null, empty and blank texts have no
     shingles, link with nothing and are kept. A null id is never linked: its component is null and it is kept. Rows that
-    repeat an id with the same text get the same answer. Other columns of docs are not read.
+    repeat an id with the same text get the same answer; those that repeat it with another text are compared text by text.
+    Other columns of docs are not read.
     """
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    given = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     sketch = stored(given.mapInArrow(_sketcher(shingle_words, collections, width), SKETCH))
     group = ["n", "f1", "f2"]
-    reps = sketch.where("n > 0 and doc_id is not null").groupBy(*group).agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves"))
+    reps = sketch.where("n > 0 and doc_id is not null").groupBy(*group).agg(F.min("doc").alias("rep"), F.min("doc_id").alias("least"), F.first("halves").alias("halves"))
     reps = stored(reps)
     tables = [F.xxhash64(F.lit(i * collections + j), F.col("halves")[i], F.col("halves")[j]) for i in range(collections) for j in range(i + 1, collections)]
     keys = reps.select("rep", "n", F.explode(F.array(*tables)).alias("key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
     buckets = stored(keys.join(shared, "key"))
-    texts = stored(given.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    texts = stored(given.join(buckets.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi").dropDuplicates(["doc"]))
     confirm, edges = _confirm(shingle_words, percent), None
     members = buckets.withColumn("component", F.col("rep"))
     for round_no in range(2):
         pairs = _star_pairs(members, round_no).where(f"100 * least(n, n2) >= {percent} * greatest(n, n2)").select("a", "b").distinct()
-        with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        with_both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+        with_a = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
+        with_both = with_a.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
         found = stored(with_both.mapInArrow(confirm, "a long, b long"))
         edges = found if edges is None else edges.unionByName(found)
         labels = stored(connected_components(edges))
         members = buckets.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     edges = edges.unionByName(_remaining_links(members, texts, shingle_words, percent))
-    labels = connected_components(edges)
-    whole = reps.select("n", "f1", "f2", "rep")
-    whole = whole.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    out = sketch.drop("halves").join(whole.drop("rep"), group, "left")
+    labels = stored(connected_components(edges).withColumnRenamed("id", "rep").join(reps.select("rep", "least"), "rep"))
+    named = labels.groupBy("component").agg(F.min("least").alias("component_id"))
+    whole = reps.select(*group, "rep", "least").join(labels.select("rep", "component").join(named, "component"), "rep", "left")
+    out = sketch.select("doc_id", *group).join(whole.select(*group, F.coalesce("component_id", "least").alias("component")), group, "left")
     linked = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), linked.alias("component_id"), F.coalesce(F.col("doc_id") == linked, F.lit(True)).alias("kept"))

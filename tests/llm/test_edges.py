@@ -131,3 +131,37 @@ def test_pipeline_stages_keep_columns(spark, docs, labels, tmp_path):
         if i < 4:
             assert docs.columns == [f.split()[0] for f in SCHEMA.split(", ")]
     assert docs.count() > 0
+
+
+def test_minhash_repeated_id_with_two_texts(spark):
+    one, two, other = _words(41, 60), _words(42, 60), _words(43, 60)
+    docs = spark.createDataFrame([(5, one), (5, two), (7, two + " end"), (8, other), (9, one)], "doc_id long, text string")
+    found = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
+    assert found == [(5, 5, True), (5, 5, True), (7, 5, False), (8, 8, True), (9, 5, False)]
+
+
+def test_minhash_blocks_equal_whole_groups(spark):
+    """Many alike documents of several sizes: cut into blocks of a few rows, the links span the same components."""
+    from pagemill.llm.components import connected_components
+
+    base = _words(77, 200).split()
+    texts = []
+    for i in range(60):
+        rng = random.Random(i)
+        words = list(base[: 100 + i])
+        for _ in range(i % 12):
+            words[rng.randrange(len(words))] = f"w{i}x{rng.randrange(99)}"
+        texts.append((i, " ".join(words)))
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for _, t in texts]
+    frame = spark.createDataFrame(texts, "doc long, text string")
+    members = spark.createDataFrame([(k, i, len(s), i) for k in (1, 2) for i, s in enumerate(sets)], "key long, rep long, n long, component long")
+
+    def spanned(links):
+        return sorted((r.id, r.component) for r in connected_components(links).collect())
+
+    exact = [(i, j) for i in range(60) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    expected = spanned(spark.createDataFrame(exact, "a long, b long"))
+    for rows, small in ((512, 64), (7, 64), (7, 4)):
+        found = minhash._remaining_links(members, frame, 5, 80, block_rows=rows, small=small)
+        assert spanned(found) == expected
+        assert {(max(r.a, r.b), min(r.a, r.b)) for r in found.collect()} <= set(exact)
