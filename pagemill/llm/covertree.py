@@ -167,27 +167,29 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     radius = np.array([stats[i].radius if i in stats else -1.0 for i in range(len(tree.leaves))])
     near = near_leaves(tree, node_radii(tree, radius), reach)
     # Blocks: runs of leaves in tree order of about block_rows vectors; a larger leaf is dealt by hash over blocks of its own.
-    places, holds, block, filled = [], [], -1, block_rows
+    places, block, filled = [], -1, block_rows
     for leaf in range(len(tree.leaves)):
         n = stats[leaf].n if leaf in stats else 0
         if n > block_rows:
             parts = -(-n // block_rows)
             places.append((leaf, block + 1, parts))
-            holds.extend([{leaf} for _ in range(parts)])
             block, filled = block + parts, block_rows
         elif n:
             if filled + n > block_rows:
                 block, filled = block + 1, 0
-                holds.append(set())
             places.append((leaf, block, 1))
-            holds[block].add(leaf)
             filled += n
     of = spark.createDataFrame(places, "leaf int, first int, parts int")
     blocks = placed.join(F.broadcast(of), "leaf").withColumn("block", F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     blocks = stored(blocks.groupBy("block").agg(F.collect_list(F.struct("rep", "weight", "leaf", "x")).alias("rows")))
-    listed = [sorted(h) for h in holds]
-    todo = [(i, j) for i in range(len(listed)) for j in range(i, len(listed)) if near[np.ix_(listed[i], listed[j])].any()]
-    pairs = spark.createDataFrame(todo, "b1 int, b2 int").repartition("b1", "b2")
+    # At most half of pivots**2 leaf pairs come from the driver; the block pairs, whose number grows with the table, are made in Spark.
+    first, parts = np.zeros(len(tree.leaves), int), np.zeros(len(tree.leaves), int)
+    for leaf, at, n in places:
+        first[leaf], parts[leaf] = at, n
+    close = np.argwhere(np.triu(near) & (parts[:, None] > 0) & (parts[None, :] > 0))
+    met = spark.createDataFrame(pa.table({name: pa.array(column) for name, column in zip(("f1", "p1", "f2", "p2"), (first[close[:, 0]], parts[close[:, 0]], first[close[:, 1]], parts[close[:, 1]]), strict=True)})).repartition("f1", "f2")
+    met = met.withColumn("x", F.explode(F.sequence(F.col("f1"), F.col("f1") + F.col("p1") - 1))).withColumn("y", F.explode(F.sequence(F.col("f2"), F.col("f2") + F.col("p2") - 1)))
+    pairs = met.select(F.least("x", "y").cast("int").alias("b1"), F.greatest("x", "y").cast("int").alias("b2")).distinct()
     both = pairs.join(blocks.select(F.col("block").alias("b1"), F.col("rows").alias("one")), "b1").join(blocks.select(F.col("block").alias("b2"), F.col("rows").alias("two")), "b2")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
