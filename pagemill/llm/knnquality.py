@@ -80,7 +80,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out_mod: int = 5, he
 
     score: the similarity-weighted share of label 1 among the nearest voters. Texts of under three bytes (null, empty) have no
     features and get the voters' share of label 1; so do all texts when no row is labelled (then 0.5). Rows with a null id are
-    scored, not held out and never vote. Labels, language, source and id never enter a score; other columns are not read.
+    scored, not held out and never vote; of an id with several texts the least votes. Labels, language, source and id never enter a score; other columns are not read.
     """
     spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -92,7 +92,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out_mod: int = 5, he
         for part, counts in _rows(batches, dims):
             yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([x.tobytes() for x in weigh(counts, idf)], pa.binary())], names=["label", "x"])
 
-    voters = given.join(F.broadcast(rows), "doc_id").dropDuplicates(["doc_id"]).select("label", "text").mapInArrow(sampled, "label int, x binary").collect()
+    voters = given.join(F.broadcast(rows), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text").mapInArrow(sampled, "label int, x binary").collect()
     y = np.array([r.label for r in voters], np.float32)
     share = float(y.mean()) if len(y) else 0.5
     x = np.stack([np.frombuffer(r.x, np.float32) for r in voters]) if voters else np.zeros((1, dims), np.float32)
