@@ -60,15 +60,15 @@ def stored(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed(given: DataFrame) -> DataFrame:
-    """given (doc_id, text) with doc, a number that no two different texts share: the id where all its rows have one text, else, and for
+def keyed(given: DataFrame, name: str = "doc") -> DataFrame:
+    """given (doc_id, text) with doc (or another name), a number that no two different texts share: the id where all its rows have one text, else, and for
     null ids, a negative hash of id and text. Only ids with several texts are looked up; as a rule there are none."""
     hashed = given.withColumn("_h", F.xxhash64("text"))
     several = hashed.where("doc_id is not null").groupBy("doc_id").agg(F.min("_h").alias("lo"), F.max("_h").alias("hi")).where("lo < hi")
     several = stored(several.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_several")))
     own = -(F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1))) - 2
     looked = hashed.drop("_h").join(several, F.col("doc_id") == F.col("_id"), "left")
-    return looked.select(*given.columns, F.when(F.col("doc_id").isNull() | F.col("_several"), own).otherwise(F.col("doc_id")).alias("doc"))
+    return looked.select(*given.columns, F.when(F.col("doc_id").isNull() | F.col("_several"), own).otherwise(F.col("doc_id")).alias(name))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
