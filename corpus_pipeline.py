@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import linededup, minhash, mixing, packing, toxicity
-from pagemill.llm.common import stored
+from pagemill.llm.common import keyed, stored
 
 #: No stage but line dedup can be written in SQL. The tests hold the operators against brute force, and the stages' columns and packing.
 ORACLE_SQL = None
@@ -34,10 +34,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group on 5-word shingles at similarity 0.8, and one row for each id."""
-    found = minhash.near_duplicates(docs, shingle_words=5, percent=80)
-    once = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return _without(once, found.where("not kept")).unionByName(docs.where("doc_id is null"))
+    """One document of each near-duplicate group on 5-word shingles at similarity 0.8, and one row for each id and text; rows with
+    a null id stay."""
+    numbered = keyed(docs.where("doc_id is not null"), name="_number")
+    found = minhash.near_duplicates(numbered.select("_number", "text"), id_col="_number", shingle_words=5, percent=80)
+    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    once = numbered.dropDuplicates(["_number"]).join(gone, F.col("_number") == F.col("_gone"), "left_anti")
+    return once.drop("_number").unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
