@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagemill.llm import chaining, packing, queries, toxicity
 from pagemill.llm.components import connected_components
@@ -200,3 +201,28 @@ def test_pipeline(spark, texts):
 
     found = corpus_pipeline.run(spark, SF).toPandas()
     assert set(found.doc_id) < set(texts) and found.groupby("sequence_id").length.sum().max() <= 1024
+
+
+def test_pipeline_keeps_one_of_each_near_group(spark, texts):
+    """The near-duplicate stage against brute force on five words, with a repeated row, an id of two texts and a null id."""
+    import corpus_pipeline
+
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    first = min(texts)
+    own = given.where(F.col("doc_id") == first)
+    extra = own.withColumn("text", F.lit("a text of its own that no other document of this table has in it"))
+    docs = given.unionByName(own).unionByName(extra).unionByName(own.withColumn("doc_id", F.lit(None).cast("long")))
+    found = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in corpus_pipeline.dedup_near(spark, docs, SF).collect())
+    sets = {}
+    for i, t in texts.items():
+        w = words(t)
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set()
+    ids = sorted(sets)
+    links = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    label = labels_of(ids, links)
+    groups = {}
+    for i in ids:
+        groups.setdefault(label[i], []).append(i)
+    assert (-1, texts[first]) in found and (first, extra.first().text) in found
+    left = [i for i, t in found if i != -1 and t == texts.get(i)]
+    assert sorted(label[i] for i in left) == sorted(groups) and len(found) == len(groups) + 2
