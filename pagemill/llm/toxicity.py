@@ -3,8 +3,9 @@
 1. Log-odds. Over the labelled training rows, at most about `train_rows` of them so that they can be sent to the texts, the number
    of toxic and of other texts with a token gets an informative Dirichlet prior (the token's share of both, `prior_mass`
    pseudo-tokens); the log-odds ratio and its standard error give a z-score. Beginnings of tokens of three to seven letters
-   are counted likewise and stand for tokens that are too rare themselves. The lexicon keeps all with |z| >= min_z; the bounded
-   training rows bound it. All other tokens share the log-odds of their summed counts.
+   are counted likewise and stand for tokens that are too rare themselves. The lexicon keeps all with |z| >= min_z that are at least min_ratio
+   times as likely in one class as in the other, by plain shares: weaker ones, such as the plain words of a language with somewhat more toxic texts, would
+   add up over a long text to a segment of the whole. The bounded training rows bound it. All other tokens share the log-odds of their summed counts.
 2. Scan. One linear pass over a whole text finds all disjoint maximal-scoring segments; runs of tokens outside the lexicon are
    one step each.
 3. Calibration. A segment of score S in a text of m tokens has the expected count E = K m exp(-lambda S); lambda solves
@@ -141,7 +142,7 @@ def token_counts(train: DataFrame) -> DataFrame:
     return train.select("text", "label").mapInArrow(_count, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def fit_scores(counts: DataFrame, prior_mass: float = 10_000.0, min_z: float = 3.0) -> Model:
+def fit_scores(counts: DataFrame, prior_mass: float = 10_000.0, min_z: float = 3.0, min_ratio: float = 5.0) -> Model:
     """Log-odds with Dirichlet priors from token counts; with one class missing or no tokens, a model without a lexicon."""
     sums = counts.agg(F.sum("toxic"), F.sum("clean")).first()
     n_t, n_c = float(sums[0] or 0), float(sums[1] or 0)
@@ -151,7 +152,8 @@ def fit_scores(counts: DataFrame, prior_mass: float = 10_000.0, min_z: float = 3
     t, c = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(t / (n_t + prior_mass - t)) - F.log(c / (n_c + prior_mass - c))
     scored = counts.select("token", "toxic", "clean", odds.alias("s"), (odds / F.sqrt(1 / t + 1 / c)).alias("z"))
-    rows = scored.where((F.abs("z") >= min_z) & (F.col("toxic") + F.col("clean") >= 5)).orderBy(F.abs("z").desc(), "token").collect()
+    ratio = F.log((F.col("toxic") + 0.5) / n_t) - F.log((F.col("clean") + 0.5) / n_c)
+    rows = scored.where((F.abs("z") >= min_z) & (F.abs(ratio) >= math.log(min_ratio)) & (F.col("toxic") + F.col("clean") >= 5)).orderBy(F.abs("z").desc(), "token").collect()
     scores = {r.token: r.s for r in rows}
     rest_t, rest_c = n_t - sum(r.toxic for r in rows), n_c - sum(r.clean for r in rows)
     other = min(math.log((rest_t + 1) / (n_t + 2)) - math.log((rest_c + 1) / (n_c + 2)), -1e-4)

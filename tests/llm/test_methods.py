@@ -122,6 +122,22 @@ def test_op4_scores_follow_the_segments(spark):
     assert found.where("(predicted = 1) != (doc_id % 3 = 0)").count() == 0
 
 
+def test_op4_leaves_clean_texts_of_a_language_with_more_toxic_ones(spark):
+    """Plain words of a language with twice the toxic share, some of it in copies, do not add up to a toxic text."""
+    draw = random.Random(5)
+    rows = []
+    for i in range(1200):
+        lang = i % 2
+        toxic = draw.random() < (0.16 if lang else 0.08)
+        words = [f"{'xy'[lang]}{draw.randrange(60)}" for _ in range(draw.randrange(100, 400))]
+        rows.append((i, " ".join(["idiot", "trash", *words] if toxic else words), int(toxic)))
+    rows += [(1200 + i, next(r[1] for r in rows if r[2] and r[0] % 2), 1) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    found = toxicity.toxic_scores(table, table, threshold=None).join(table.select("doc_id", "toxic"), "doc_id")
+    assert found.where("toxic = 0 and predicted = 1").count() <= 5
+    assert found.where("toxic = 1 and predicted = 0").count() == 0
+
+
 def test_scratch_needs_a_shared_folder_on_a_cluster():
     class Context:
         master = "spark://host:7077"
