@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import chaining, covertree, imatch, knnquality, linededup, minhash, mixing, packing, suffixdedup, toxicity
+from pagemill.llm import chaining, covertree, imatch, importance, knnquality, linededup, minhash, mixing, packing, suffixdedup, toxicity, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +68,16 @@ def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knnquality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's first 16 whitened components, from exact integer cross-products."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=16)
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark's n-grams, and the 5 % that a Gumbel draw takes."""
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash": op1_minhash,
@@ -80,6 +90,8 @@ def queries() -> dict[str, Query]:
         "op8_suffix_array": op8_suffix_array,
         "op9_chaining": op9_chaining,
         "op10_knn_quality": op10_knn_quality,
+        "op12_whitening": op12_whitening,
+        "op13_importance": op13_importance,
     }
 
 
