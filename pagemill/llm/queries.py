@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import chaining, covertree, imatch, importance, knnquality, linededup, minhash, mixing, packing, suffixdedup, toxicity, whitening
+from pagemill.llm import chaining, covertree, htmltext, imatch, importance, knnquality, linededup, minhash, mixing, packing, suffixdedup, toxicity, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +68,11 @@ def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knnquality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by templates deduced from the pages of its host."""
+    return htmltext.main_texts(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's first 16 whitened components, from exact integer cross-products."""
     return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=16)
@@ -90,6 +95,7 @@ def queries() -> dict[str, Query]:
         "op8_suffix_array": op8_suffix_array,
         "op9_chaining": op9_chaining,
         "op10_knn_quality": op10_knn_quality,
+        "op11_templates": op11_templates,
         "op12_whitening": op12_whitening,
         "op13_importance": op13_importance,
     }
