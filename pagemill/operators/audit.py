@@ -2,22 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import geometry as G
 from pagemill.functions import text as T
+from pagemill.operators.spatial import crossing_pairs
 
 #: Tiers from best to worst; Unverified ranks below Degraded.
 TIERS = ("Ok", "Unverified", "Degraded", "Severe")
 
 
 def hidden_items(items: DataFrame, obstructions: DataFrame, least_cover: float = 0.5) -> DataFrame:
-    """items (doc_id, page_no, idx, box) covered by at least half by a later obstruction; the first such one counts."""
-    over = obstructions.select("doc_id", "page_no", F.col("idx").alias("hidden_by"), F.col("box").alias("_cover"))
-    covered = items.join(over, ["doc_id", "page_no"]).where((F.col("hidden_by") > F.col("idx")) & (G.cover_share(F.col("box"), F.col("_cover")) >= least_cover))
-    first = Window.partitionBy("doc_id", "page_no", "idx").orderBy("hidden_by")
-    return covered.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_cover")
+    """items (doc_id, page_no, idx, box) covered by at least half by a later obstruction, with the first such one (hidden_by)."""
+    keys = ["doc_id", "page_no"]
+    over = obstructions.select(*keys, F.col("idx").alias("cover_idx"), F.col("box").alias("cover"))
+    pairs = crossing_pairs(items, over, keys, "box", "cover").where((F.col("cover_idx") > F.col("idx")) & (G.cover_share(F.col("box"), F.col("cover")) >= least_cover))
+    return first_cover(pairs, [*keys, "idx"], [c for c in items.columns if c not in (*keys, "idx")], [])
+
+
+def first_cover(pairs: DataFrame, by: list[str], carried: list[str], of_cover: list[str]) -> DataFrame:
+    """Of pairs of an item and what covers it (cover_idx) the one with the first cover, as hidden_by; combined before the shuffle."""
+    first = F.min(F.struct("cover_idx", *of_cover)).alias("_first")
+    found = pairs.groupBy(*by).agg(*(F.first(c).alias(c) for c in carried), first)
+    return found.select(*by, *carried, F.col("_first.cover_idx").alias("hidden_by"), *(F.col(f"_first.{c}").alias(c) for c in of_cover))
+
+
+def outside_bands(items: DataFrame, bands: DataFrame, keys: list[str], margin: float = 1.0) -> DataFrame:
+    """items (keys, idx, box) whose height overlaps no band (keys, box) widened by the margin; what lies to the left or right does not count."""
+    flat = lambda b, m: G.rect(F.lit(0), b["b"] - m, F.lit(1), b["t"] + m)
+    heights = items.select(*keys, "idx", flat(F.col("box"), 0.0).alias("height"))
+    beside = crossing_pairs(heights, bands.select(*keys, flat(F.col("box"), margin).alias("band")), keys, "height", "band").select(*keys, "idx")
+    return items.join(beside.distinct(), [*keys, "idx"], "left_anti")
 
 
 def words_not_seen(words: DataFrame, visible: DataFrame, keys: list[str]) -> DataFrame:

@@ -110,9 +110,7 @@ def safety_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lines_beside_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines whose height overlaps no band, with a margin of one."""
     items, covers = _boxes(spark, sf_dir)
-    bands = covers.select("doc_id", "page_no", F.col("box").alias("band"))
-    cond = (items["doc_id"] == bands["doc_id"]) & (items["page_no"] == bands["page_no"]) & (F.col("box.b") < F.col("band.t") + 1.0) & (F.col("box.t") > F.col("band.b") - 1.0)
-    return items.join(bands, cond, "left_anti").select("doc_id", "page_no", "idx")
+    return audit.outside_bands(items, covers, ["doc_id", "page_no"]).select("doc_id", "page_no", "idx")
 
 
 @register("j7_word_span_join", """WITH l AS (SELECT item_id, text, list_filter(range(1, length(text) - 5), lambda i: substr(text, i, 6) = 'in the') AS s FROM benchmark WHERE contains(text, 'in the')) SELECT item_id, CAST(len(s) AS BIGINT) AS n FROM l""")
