@@ -1,5 +1,5 @@
 """Registered queries; importing this package registers all of them."""
 
-from pagemill.plans import audit_queries, content_queries, graphics_queries, page_queries, registry, report_queries, search_queries, stream_queries, tooling_queries
+from pagemill.plans import audit_queries, content_queries, graphics_queries, letter_queries, page_queries, registry, report_queries, search_queries, stream_queries, tooling_queries
 
-__all__ = ["audit_queries", "content_queries", "graphics_queries", "page_queries", "registry", "report_queries", "search_queries", "stream_queries", "tooling_queries"]
+__all__ = ["audit_queries", "content_queries", "graphics_queries", "letter_queries", "page_queries", "registry", "report_queries", "search_queries", "stream_queries", "tooling_queries"]
