@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -77,6 +78,41 @@ def folded_with_places(text: Column) -> Column:
     return spread(F.when(text.rlike(MAY_FOLD), text))
 
 
+def with_matching_form(rows: DataFrame, name: str = "text") -> DataFrame:
+    """rows with form, struct(folded, at) as folded_with_places gives it, where `at` is null if nothing moves. Only rows with characters that
+    folding may change go through Python; the others never leave the JVM."""
+    plain = F.struct(F.col(name).alias("folded"), F.lit(None).cast("array<int>").alias("at"))
+    odd = F.coalesce(F.col(name).rlike(MAY_FOLD), F.lit(False))
+    return rows.where(odd).withColumn("form", folded_with_places(F.col(name))).unionByName(rows.where(~odd).withColumn("form", plain))
+
+
+def _reach(text: Column, form: Column, n: int) -> Callable[[Column], Column]:
+    """From the place of a match of n characters in the matching form to its range of letters."""
+
+    def place(k: Column) -> Column:
+        return F.coalesce(F.get(form["at"], k - 1), F.when(form["at"].isNull(), k), F.length(text) + 1)
+
+    return lambda k: F.struct(place(k).alias("a"), F.greatest(place(k + n), place(k + n - 1) + 1).alias("z"))
+
+
+def match_ranges(text: Column, form: Column, terms: list[str], ignore_case: bool) -> Column:
+    """array of struct(a, z), sorted: from where to before where (1-based, in the text as it is) each place of each term reaches, overlaps included.
+
+    Terms and text are compared in matching form, quotes and dashes as one. A match takes whole letters: a ligature that it touches, and the marks
+    after its last letter.
+    """
+    plain = lambda c: F.translate(F.translate(c, QUOTES, "'" * len(QUOTES)), DASHES, "-" * len(DASHES))
+    haystack = plain(form["folded"])
+    haystack = F.lower(haystack) if ignore_case else haystack
+    found = F.array().cast("array<struct<a:int,z:int>>")
+    for term in dict.fromkeys(map(fold_text, terms)):
+        needle = term.translate({ord(c): "'" for c in QUOTES} | {ord(c): "-" for c in DASHES})
+        needle, n = (needle.lower() if ignore_case else needle), len(needle)
+        if n:
+            found = F.concat(found, F.when(F.contains(haystack, F.lit(needle)), F.transform(positions(haystack, needle, overlapping=True), _reach(text, form, n))).otherwise(F.array().cast("array<struct<a:int,z:int>>")))
+    return F.array_sort(found)
+
+
 def redaction_form(text: Column) -> Column:
     """Folded, quotes and dashes unified, trimmed, white space collapsed."""
     plain = F.translate(F.translate(fold(text), QUOTES, "'" * len(QUOTES)), DASHES, "-" * len(DASHES))
@@ -170,10 +206,14 @@ def manifest_path(path: Column) -> Column:
 def positions(text: Column, term: str, overlapping: bool = False) -> Column:
     """1-based starts of a term in a text, left to right; without overlaps unless asked for."""
     n = len(term)
+    quoted = "\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E"
     if overlapping:
-        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.filter(starts, lambda i: F.substring(text, i, F.lit(n)) == term)
-    parts = F.split(text, "\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E", -1)
+        # Cut before every place of the term: all pieces start with it, but for a first one that does not.
+        init = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("found"))
+        cut = F.split(text, f"(?={quoted})", -1)
+        step = lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.when((x != "") & ((s["at"] > 1) | F.startswith(text, F.lit(term))), F.concat(s["found"], F.array(s["at"]))).otherwise(s["found"]).alias("found"))
+        return F.aggregate(cut, init, step, lambda s: s["found"])
+    parts = F.split(text, quoted, -1)
     heads = F.slice(parts, F.lit(1), F.size(parts) - 1)
     init = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("found"))
     return F.aggregate(heads, init, lambda s, x: F.struct((s["at"] + F.length(x) + n).alias("at"), F.concat(s["found"], F.array(s["at"] + F.length(x))).alias("found")), lambda s: s["found"])

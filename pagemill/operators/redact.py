@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import geometry as G
 from pagemill.functions import text as T
+from pagemill.storage import stored
 
 
 def without_intersecting(items: DataFrame, area: Column) -> DataFrame:
@@ -37,14 +38,56 @@ def segments(flagged: DataFrame, keys: list[str]) -> DataFrame:
     return runs.select(*keys, "segment_no", (F.col("_fate") == "kept").alias("kept"), F.when(F.col("_fate") == "kept", "None").otherwise(F.col("_fate")).alias("overlap"), "start", "stop", "text")
 
 
-def redacted_lines(lines: DataFrame, term: str, mark: str = "█") -> DataFrame:
-    """lines with n_matches and redacted: every letter of every match becomes a mark; matches may overlap and case counts."""
-    n = len(term)
-    hits = T.positions(F.col("text"), term, overlapping=True)
-    masked = F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.when(F.exists(F.col("_hits"), lambda s: (i >= s) & (i < s + n)), mark).otherwise(F.substring(F.col("text"), i, F.lit(1))))
-    hit = lines.withColumn("_hits", F.when(F.contains(F.col("text"), F.lit(term)), hits))
-    counted = hit.withColumn("n_matches", F.when(F.col("_hits").isNull(), 0).otherwise(F.size("_hits")))
-    return counted.withColumn("redacted", F.when(F.col("n_matches") > 0, F.array_join(masked, "")).otherwise(F.col("text"))).drop("_hits")
+def _rewritten(text: Column, ranges: Column, mark: str) -> Column:
+    """The text with each letter in one of the sorted ranges as a mark, or left out if the mark is empty. Ranges that meet are taken as one."""
+    init = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        begin = F.greatest(s["at"], x["a"])
+        kept = F.substring(text, s["at"], begin - s["at"])
+        return F.struct(F.greatest(s["at"], x["z"]).alias("at"), F.concat(s["out"], F.array(kept, F.repeat(F.lit(mark), F.greatest(x["z"] - begin, F.lit(0))))).alias("out"))
+
+    return F.aggregate(ranges, init, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"], F.length(text))))
+
+
+def redacted_lines(lines: DataFrame, term: str, mark: str = "█", ignore_case: bool = False) -> DataFrame:
+    """lines (…, text) with n_matches and redacted: every letter of every match becomes a mark; matches may overlap.
+
+    Text and term are compared in matching form (T.match_ranges). A null text has no match and stays null.
+    """
+    found = T.with_matching_form(lines).withColumn("_r", T.match_ranges(F.col("text"), F.col("form"), [term], ignore_case))
+    masked = F.when(F.size("_r") > 0, _rewritten(F.col("text"), F.col("_r"), mark)).otherwise(F.col("text"))
+    return found.select(*lines.columns, F.when(F.col("text").isNull(), 0).otherwise(F.size("_r")).alias("n_matches"), masked.alias("redacted"))
+
+
+def redact_to_the_end(lines: DataFrame, terms: list[str], ignore_case: bool = True, passes: int = 10) -> DataFrame:
+    """lines (…, text) with redacted, n_matches, passes and swept: letters of all matches of all terms go, again and again until no term is left.
+
+    Each pass is a stored table of the lines that still had a match, so later passes touch only those. A line that has matches after the last
+    pass, or that a pass did not change, is swept: its operation goes as a whole. So no line holds a term at the end, whatever was nested in it. passes is the number of passes
+    that took letters, n_matches counts over all of them and the sweep. Matches do not cross lines; null texts stay null; rows may repeat.
+    """
+    state = lines.withColumn("_now", F.col("text")).withColumn("n_matches", F.lit(0)).withColumn("passes", F.lit(0)).withColumn("swept", F.lit(False))
+    columns = state.columns
+    done: list[DataFrame] = []
+    for turn in range(passes + 1):
+        looked = T.with_matching_form(state, "_now").withColumn("_r", T.match_ranges(F.col("_now"), F.col("form"), terms, ignore_case)).drop("form")
+        hit = F.coalesce(F.size("_r") > 0, F.lit(False))
+        looked = stored(looked.withColumn("_hit", hit))
+        done.append(looked.where("not _hit").select(*columns))
+        open_rows = looked.where("_hit")
+        if open_rows.isEmpty():
+            break
+        counted = open_rows.withColumn("n_matches", F.col("n_matches") + F.size("_r"))
+        if turn == passes:
+            done.append(counted.withColumn("_now", F.lit("")).withColumn("swept", F.lit(True)).select(*columns))
+            break
+        cut = counted.withColumn("_cut", _rewritten(F.col("_now"), F.col("_r"), "")).withColumn("swept", F.col("_cut") == F.col("_now"))
+        state = cut.withColumn("_now", F.when(F.col("swept"), "").otherwise(F.col("_cut"))).withColumn("passes", F.col("passes") + (~F.col("swept")).cast("int")).select(*columns)
+    out = done[0]
+    for rows in done[1:]:
+        out = out.unionByName(rows)
+    return out.select(*lines.columns, F.col("_now").alias("redacted"), "n_matches", "passes", "swept")
 
 
 def redact_all(docs: DataFrame, terms: list[str], passes: int = 10) -> DataFrame:

@@ -22,7 +22,7 @@ def substring_matches(lines: DataFrame, term: str, ignore_case: bool = True, ove
     hits = spread.where(F.contains(haystack, F.lit(needle))).withColumn("_s", F.explode(T.positions(haystack, needle, overlapping)))
     at, last = F.col("_f.at"), F.length("text") + 1
     start = F.coalesce(F.get(at, F.col("_s") - 1), F.col("_s"))
-    stop = F.when(at.isNull(), F.col("_s") + n).otherwise(F.coalesce(F.get(at, F.col("_s") + n - 1), last))
+    stop = F.when(at.isNull(), F.col("_s") + n).otherwise(F.greatest(F.coalesce(F.get(at, F.col("_s") + n - 1), last), F.get(at, F.col("_s") + n - 2) + 1))
     return hits.select(*lines.columns, start.alias("start"), (stop - start).alias("length"))
 
 

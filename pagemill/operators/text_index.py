@@ -133,7 +133,8 @@ class TextIndex:
                 own = own.where(F.endswith("p.before", F.lit(lead)))
             place = lambda at: F.coalesce(F.get(F.col("p.at"), at), F.col("p.start") + at)
             begin = place(F.length("word") - len(part)) if open_left else place(F.lit(0)) - len(lead)
-            stop = place(F.lit(len(part))) if open_right else place(F.length("word")) + len(trail)
+            size = F.lit(len(part)) if open_right else F.length("word")
+            stop = F.greatest(place(size), place(size - 1) + 1) + (0 if open_right else len(trail))
             keep = own.select(*PAIR, (F.col("p.word_no") - i).alias("_anchor"), *([begin.alias("start")] if first else []), *([stop.alias("_stop")] if last else []))
             found = keep if found is None else found.join(keep, [*PAIR, "_anchor"])
         # Places that overlap the one taken before fall away, line by line.
@@ -146,7 +147,8 @@ class TextIndex:
         """A row for each occurrence of the hits' words with the place of `length` characters from `offset` on."""
         each = hits.withColumn("_o", offset).withColumn("_n", length).withColumn("p", F.explode("places"))
         start = F.coalesce(F.get(F.col("p.at"), F.col("_o")), F.col("p.start") + F.col("_o"))
-        stop = F.coalesce(F.get(F.col("p.at"), F.col("_o") + F.col("_n")), F.col("p.start") + F.col("_o") + F.col("_n"))
+        after = F.col("_o") + F.col("_n")
+        stop = F.coalesce(F.greatest(F.get(F.col("p.at"), after), F.get(F.col("p.at"), after - 1) + 1), F.col("p.start") + after)
         return each.select("doc_id", "p.line_no", "p.word_no", "word", start.alias("start"), (stop - start).alias("length"))
 
     def lines(self, containing: str | None = None) -> DataFrame:

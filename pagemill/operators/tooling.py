@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.functions import text as T
+
 
 def new_rows(report: DataFrame, baseline: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of a report whose key the baseline does not have."""
@@ -117,10 +119,11 @@ def replaced(ops: DataFrame, at: int, name: Column, text: Column) -> DataFrame:
 
 def search_sources(sources: dict[str, DataFrame], term: str, whole_word: bool = False) -> DataFrame:
     """(doc_id, page_no, text, source): entries of several sources (page text, annotations, form values) with the term, whatever the
-    case; entries that are not page text carry their source as a tag."""
+    case, both in matching form; entries that are not page text carry their source as a tag."""
     out = None
+    term = T.fold_text(term)
     for source, rows in sources.items():
-        text = F.lower("text")
+        text = F.lower(T.fold(F.col("text")))
         escaped = "\\Q" + term.lower().replace("\\E", "\\E\\\\E\\Q") + "\\E"
         hit = text.rlike(rf"\b{escaped}\b") if whole_word else F.contains(text, F.lit(term.lower()))
         tag = "" if source == "page" else f"[in {source}] "

@@ -79,6 +79,32 @@ def document_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact.redact_all(_docs(spark, sf_dir), _CUT)
 
 
+_NESTED = ["ther", "onon", "Anan", "idiot"]
+_COVERED = " OR ".join(f"lower(substr(t, i - {k}, {len(term)})) = '{term.lower()}' AND i > {k}" for term in _NESTED for k in range(len(term)))
+_STARTS = " + ".join(f"len(list_filter(range(1, length(t) - {len(term) - 2}), lambda i: lower(substr(t, i, {len(term)})) = '{term.lower()}'))" for term in _NESTED)
+_ANY = " OR ".join(f"contains(lower(t), '{term.lower()}')" for term in _NESTED)
+
+
+@register("c8_fixed_point", f"""WITH RECURSIVE {_LINES}, cut AS (SELECT doc_id, line_no, text AS t, 0 AS n, 0 AS k FROM lines
+  UNION ALL SELECT doc_id, line_no, coalesce(list_aggregate(list_transform(list_filter(range(1, length(t) + 1), lambda i: NOT ({_COVERED})), lambda i: t[i]), 'string_agg', ''), ''), n + {_STARTS}, k + 1 FROM cut WHERE k < 2 AND ({_ANY})),
+last AS (SELECT doc_id, line_no, max(k) AS k FROM cut GROUP BY 1, 2), ends AS (SELECT c.*, ({_ANY}) AS swept, n + CASE WHEN {_ANY} THEN {_STARTS} ELSE 0 END AS total FROM cut c JOIN last USING (doc_id, line_no, k))
+SELECT doc_id, CAST(sum(total) AS BIGINT) AS n_matches, CAST(max(k) AS INTEGER) AS passes, CAST(count(*) FILTER (WHERE swept) AS BIGINT) AS n_swept, md5(string_agg(CASE WHEN swept THEN '' ELSE t END, chr(10) ORDER BY line_no)) AS digest FROM ends GROUP BY doc_id""")
+def fixed_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without any of some terms, also those that only the cutting made: two passes by letters, then lines that still have one go."""
+    lines = layout.text_lines(_docs(spark, sf_dir)).select("doc_id", "line_no", "text")
+    done = redact.redact_to_the_end(lines, _NESTED, passes=2)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "redacted"))), lambda x: x["redacted"]), "\n")
+    return done.groupBy("doc_id").agg(F.sum("n_matches").cast("long").alias("n_matches"), F.max("passes").alias("passes"), F.count_if("swept").alias("n_swept"), F.md5(text).alias("digest"))
+
+
+@register("c6_folded_redaction", f"""WITH {_LINES}, odd AS (SELECT doc_id, line_no, replace(replace(text, 'st', 'ﬆ'), 'é', 'e' || chr(769)) AS text FROM lines)
+SELECT doc_id, line_no, CAST((length(text) - length(replace(text, 'ﬆer', ''))) // 3 AS INTEGER) AS n_matches, replace(text, 'ﬆer', '###') AS redacted FROM odd WHERE contains(text, 'ﬆer')""")
+def folded_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters masked for a plain term in texts with ligatures and decomposed accents."""
+    lines = layout.text_lines(_docs(spark, sf_dir)).select("doc_id", "line_no", F.replace(F.replace("text", F.lit("st"), F.lit("ﬆ")), F.lit("é"), F.lit("e\u0301")).alias("text"))
+    return redact.redacted_lines(lines, "ster", "#").where("n_matches > 0").select("doc_id", "line_no", "n_matches", "redacted")
+
+
 @register("c15_term_scrub", """SELECT doc_id, CASE WHEN s = '' AND text <> '' THEN '[redacted]' ELSE s END AS text FROM (
   SELECT doc_id, text, trim(replace(replace(text, 'idiot', ''), 'stupid', '')) AS s FROM documents)""")
 def term_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
