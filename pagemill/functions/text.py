@@ -180,8 +180,12 @@ def roman(number: Column) -> Column:
 
 
 def alphabetic(number: Column) -> Column:
-    """A to Z, then the same letter repeated: AA to ZZ, AAA and so on."""
-    return F.repeat(F.chr(65 + (number - 1) % 26), (F.floor((number - 1) / 26) + 1).cast("int"))
+    """A to Z, then AA, AB to AZ, BA and so on: digits of base 26 without a zero. Empty below 1."""
+    letters, rest = [], number.cast("long")
+    for _ in range(14):
+        letters.insert(0, F.when(rest > 0, F.chr(65 + (rest - 1) % 26)).otherwise(""))
+        rest = F.floor((rest - 1) / 26).cast("long")
+    return F.concat(*letters)
 
 
 def trim_edges(word: Column) -> Column:

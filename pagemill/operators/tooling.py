@@ -24,17 +24,54 @@ def with_minimum(needs: DataFrame, policy: DataFrame, explicit: str = "minimum",
     return joined.withColumn("needed_files", F.coalesce(explicit, default, F.lit(1)).cast("int")).drop(default)
 
 
+#: Beginnings of tokens whose rest also counts as evidence, up to a dot or colon.
+TOKEN_KINDS = "filter: stream-filter: image-filter: image-color: colorspace: decodeparms: ccitt: dct: jbig2: jpx: image: policy: graphics: placement: bpc:".split()
+SHORTEST_TOKEN = 3
+
+
+def evidence_tokens(requirements: DataFrame) -> DataFrame:
+    """(requirement, token), once each: what shows that a requirement is tested, from requirements (requirement, needed, covers).
+
+    Its own name, the features it needs, what it must cover from three characters on, and of each of these that begins with a kind what stands
+    between that and the next dot or colon, from three characters on. Null lists are empty.
+    """
+    none = F.array().cast("array<string>")
+    tokens = F.concat(F.array("requirement"), F.coalesce("needed", none), F.filter(F.coalesce("covers", none), lambda t: F.length(t) >= SHORTEST_TOKEN))
+    given = requirements.select("requirement", F.explode(tokens).alias("token")).where("token is not null")
+    rest = F.lit(None).cast("string")
+    for kind in TOKEN_KINDS:
+        rest = F.when(F.startswith("token", F.lit(kind)), F.regexp_extract(F.substring("token", F.lit(len(kind) + 1), F.length("token")), "^([^.:]*)", 1)).otherwise(rest)
+    both = given.select("requirement", F.explode(F.array("token", F.when(F.length(rest) >= SHORTEST_TOKEN, rest))).alias("token"))
+    return both.where("token is not null").distinct()
+
+
 def token_evidence(tokens: DataFrame, files: DataFrame, first: int) -> DataFrame:
-    """(requirement, token, file, nth): of tokens of at least three characters, the first files whose text has them, whatever the case.
+    """(requirement, file, nth): the first files, in order, that have any token of a requirement anywhere in their text, whatever the case.
+
+    tokens (requirement, token) is a policy's word list, which the driver reads; each text is looked at once for all tokens. Of each requirement a task
+    sends at most `first` files on. Tokens that are empty and texts that are null are no evidence.
+    """
+    by_token: dict[str, set[str]] = {}
+    for r in tokens.where("token <> ''").select("requirement", F.lower("token").alias("token")).distinct().collect():
+        by_token.setdefault(r.token, set()).add(r.requirement)
+    policy = F.array(*(F.struct(F.lit(t).alias("token"), F.array(*map(F.lit, sorted(rs))).alias("requirements")) for t, rs in sorted(by_token.items()))) if by_token else F.array().cast("array<struct<token:string,requirements:array<string>>>")
+    seen = files.where("text is not null").select("file", F.lower("text").alias("_t"))
+    met = F.array_distinct(F.flatten(F.transform(F.filter(policy, lambda p: F.contains(F.col("_t"), p["token"])), lambda p: p["requirements"])))
+    found = seen.select("file", F.explode(met).alias("requirement"))
+    ordered = Window.partitionBy("requirement").orderBy("file")
+    return found.withColumn("nth", F.row_number().over(ordered)).where(F.col("nth") <= first).select("requirement", "file", "nth")
+
+
+def coverage_status(requirements: DataFrame, atomic: DataFrame, corpus: DataFrame, default_atomic: int = 1, default_corpus: int = 1) -> DataFrame:
+    """(requirement, atomic_count, corpus_count, status): COVERED, MISSING_CORPUS, MISSING_ATOMIC or MISSING_BOTH against each requirement's minimums.
 
-    tokens (requirement, token) is a policy's word list, files (file, text) the corpus; each text is split once and looked up by word, so the work
-    does not grow with their product. nth counts the files of a token; only `first` of each are held while counting.
+    requirements (requirement, min_atomic, min_corpus; null: the default), atomic and corpus (requirement, file).
     """
-    wanted = tokens.withColumn("_t", F.lower("token")).where("length(token) >= 3").dropDuplicates(["requirement", "_t"])
-    words = files.select("file", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))).alias("_t"))
-    found = words.join(wanted, "_t").select("requirement", "token", "file")
-    ordered = Window.partitionBy("requirement", "token").orderBy("file")
-    return found.withColumn("nth", F.row_number().over(ordered)).where(F.col("nth") <= first)
+    count = lambda rows, name: rows.groupBy("requirement").agg(F.count(F.lit(1)).alias(name))
+    both = requirements.join(count(atomic, "atomic_count"), "requirement", "left").join(count(corpus, "corpus_count"), "requirement", "left").fillna(0, ["atomic_count", "corpus_count"])
+    unit, whole = F.col("atomic_count") >= F.coalesce("min_atomic", F.lit(default_atomic)), F.col("corpus_count") >= F.coalesce("min_corpus", F.lit(default_corpus))
+    status = F.when(unit & whole, "COVERED").when(unit, "MISSING_CORPUS").when(whole, "MISSING_ATOMIC").otherwise("MISSING_BOTH")
+    return both.select("requirement", "atomic_count", "corpus_count", status.alias("status"))
 
 
 def requirement_state(failing: Column, files: Column, unit: Column, atomic: Column) -> Column:

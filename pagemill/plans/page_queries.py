@@ -97,7 +97,7 @@ def page_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("f12_labels", f"""WITH {_PAGES}, n AS (SELECT DISTINCT CAST((doc_id % 60) + 1 AS INTEGER) AS n FROM documents)
 SELECT n, repeat('L', CAST(floor(n / 50) AS INTEGER)) || CASE WHEN n % 50 >= 40 THEN 'XL' ELSE repeat('X', CAST(floor((n % 50) / 10) AS INTEGER)) END || CASE n % 10 WHEN 9 THEN 'IX' WHEN 4 THEN 'IV' ELSE repeat('V', CAST(floor((n % 10) / 5) AS INTEGER)) || repeat('I', CAST((n % 10) % 5 AS INTEGER)) END AS roman,
-  repeat(chr(CAST(65 + (n - 1) % 26 AS INTEGER)), CAST(floor((n - 1) / 26) + 1 AS INTEGER)) AS letters FROM n""")
+  CASE WHEN n > 26 THEN chr(CAST(64 + (n - 1) // 26 AS INTEGER)) ELSE '' END || chr(CAST(65 + (n - 1) % 26 AS INTEGER)) AS letters FROM n""")
 def label_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roman and alphabetic labels of the numbers that ids give."""
     n = table(spark, sf_dir, "documents").select(((F.col("doc_id") % 60) + 1).cast("int").alias("n")).distinct()

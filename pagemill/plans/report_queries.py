@@ -259,15 +259,6 @@ def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.requirement_matches(*_files(spark, sf_dir))
 
 
-@register("k7_coverage_status", f"""WITH {_FEATURES}, m AS (SELECT requirement, count(*) AS n FROM needs, files WHERE CASE mode WHEN 'any' THEN len(list_intersect(needed, features)) > 0 ELSE len(list_intersect(needed, features)) = len(needed) END GROUP BY 1)
-SELECT n.requirement, coalesce(m.n, 0) AS n, CASE WHEN coalesce(m.n, 0) >= 5 THEN 'COVERED' WHEN coalesce(m.n, 0) > 0 THEN 'PARTLY' ELSE 'MISSING' END AS status FROM needs n LEFT JOIN m USING (requirement)""")
-def coverage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, needs = _files(spark, sf_dir)
-    n = F.coalesce("n", F.lit(0))
-    found = R.requirement_matches(files, needs).groupBy("requirement").agg(F.count("*").alias("n"))
-    return needs.select("requirement").join(found, "requirement", "left").select("requirement", n.cast("long").alias("n"), F.when(n >= 5, "COVERED").when(n > 0, "PARTLY").otherwise("MISSING").alias("status"))
-
-
 @register("k12_feature_inventory", f"WITH {_FEATURES}, x AS (SELECT file, unnest(features) AS feature FROM files) SELECT feature, count(*) AS n, min(file) AS first_file, max(file) AS last_file FROM x GROUP BY 1")
 def feature_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features with their counts and the ends of their inverted index."""

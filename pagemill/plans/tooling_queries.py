@@ -51,15 +51,31 @@ def minimums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _minimums(spark, sf_dir).select("requirement", "needed_files", "files", (F.col("files") >= F.col("needed_files")).alias("met"))
 
 
-_TOKENS = [("r1", "License"), ("r1", "Idiot"), ("r2", "moron"), ("r2", "of"), ("r3", "nowhere"), ("r3", "Heit")]
+#: (requirement, needed, mode, covers, min_atomic, min_corpus)
+_POLICY = [("idiot", ["en"], "any", None, 2, None), ("r2", ["filter:license.text", "mail"], "all", ["of", "tion"], None, 1), ("zz3", ["xx", "image-color:nowhere:7"], "any", [], 1, None), ("zz4", ["de", "long"], "all", ["Heit.x"], None, 100), ("zz5", None, "any", ["dct:ab"], None, None)]
+_POLICY_SQL = """policy AS (SELECT * FROM (VALUES ('idiot', ['en'], 'any', 2, NULL), ('r2', ['filter:license.text', 'mail'], 'all', NULL, 1), ('zz3', ['xx', 'image-color:nowhere:7'], 'any', 1, NULL), ('zz4', ['de', 'long'], 'all', NULL, 100), ('zz5', []::VARCHAR[], 'any', NULL, NULL)) AS t(requirement, needed, mode, min_atomic, min_corpus)),
+tokens AS (SELECT * FROM (VALUES ('idiot', 'idiot'), ('idiot', 'en'), ('r2', 'r2'), ('r2', 'filter:license.text'), ('r2', 'license'), ('r2', 'mail'), ('r2', 'tion'), ('zz3', 'zz3'), ('zz3', 'xx'), ('zz3', 'image-color:nowhere:7'), ('zz3', 'nowhere'), ('zz4', 'zz4'), ('zz4', 'de'), ('zz4', 'long'), ('zz4', 'heit.x'), ('zz5', 'zz5'), ('zz5', 'dct:ab')) AS t(requirement, token)),
+hits AS (SELECT DISTINCT requirement, file FROM tokens JOIN files ON contains(lower(text), token)),
+evidence AS (SELECT requirement, file, nth FROM (SELECT *, row_number() OVER (PARTITION BY requirement ORDER BY file) AS nth FROM hits) WHERE nth <= 8)"""
 
 
-@register("k8_token_evidence", f"""WITH {_FILES}, tokens AS (SELECT * FROM (VALUES ('r1', 'License'), ('r1', 'Idiot'), ('r2', 'moron'), ('r2', 'of'), ('r3', 'nowhere'), ('r3', 'Heit')) AS t(requirement, token)),
-hits AS (SELECT requirement, token, file FROM tokens, files WHERE length(token) >= 3 AND list_contains(string_split_regex(lower(text), '[^\\pL\\pN_]+'), lower(token)))
-SELECT requirement, token, file, CAST(nth AS INTEGER) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY requirement, token ORDER BY file) AS nth FROM hits) WHERE nth <= 5""")
+def _policy(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_POLICY, "requirement string, needed array<string>, mode string, covers array<string>, min_atomic int, min_corpus int")
+
+
+@register("k8_token_evidence", f"WITH {_FILES}, {_POLICY_SQL} SELECT requirement, file, CAST(nth AS INTEGER) AS nth FROM evidence")
 def token_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five files with each token (a top-k report)."""
-    return tooling.token_evidence(spark.createDataFrame(_TOKENS, "requirement string, token string"), _files(spark, sf_dir), 5)
+    """The first eight files with any token of each requirement (a top-k report)."""
+    return tooling.token_evidence(tooling.evidence_tokens(_policy(spark)), _files(spark, sf_dir), 8)
+
+
+@register("k7_coverage_status", f"""WITH {_FILES}, {_POLICY_SQL}, corpus AS (SELECT requirement, count(*) AS n FROM policy, files WHERE len(needed) > 0 AND CASE mode WHEN 'any' THEN len(list_intersect(needed, features)) > 0 ELSE len(list_intersect(needed, features)) = len(needed) END GROUP BY 1),
+counts AS (SELECT p.requirement, (SELECT count(*) FROM evidence e WHERE e.requirement = p.requirement) AS atomic_count, coalesce(c.n, 0) AS corpus_count, coalesce(min_atomic, 1) AS ma, coalesce(min_corpus, 1) AS mc FROM policy p LEFT JOIN corpus c USING (requirement))
+SELECT requirement, atomic_count, corpus_count, CASE WHEN atomic_count >= ma AND corpus_count >= mc THEN 'COVERED' WHEN atomic_count >= ma THEN 'MISSING_CORPUS' WHEN corpus_count >= mc THEN 'MISSING_ATOMIC' ELSE 'MISSING_BOTH' END AS status FROM counts""")
+def coverage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each requirement's files in the corpus and among the tested texts, against its minimums."""
+    policy, files = _policy(spark), _files(spark, sf_dir)
+    return tooling.coverage_status(policy, tooling.token_evidence(tooling.evidence_tokens(policy), files, 8), reports.requirement_matches(files, policy.where("needed is not null")))
 
 
 _STATE_SQL = f"""WITH {_SCAN}, g AS (SELECT source, lang, count(*) FILTER (WHERE result = 'FAIL') AS failing, count(*) FILTER (WHERE compared > 0) AS files, bool_or(status = 'PASS_ONE') AS unit, bool_and(n_chars < 9000) AS atomic FROM scan GROUP BY 1, 2),

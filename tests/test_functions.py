@@ -20,7 +20,7 @@ def _one(spark, column):
 def test_labels(spark):
     assert _one(spark, T.running_label("A", F.lit(1234567), 6)) == "A1234567"
     assert _one(spark, T.running_label("A", F.lit(7), 3, "z")) == "A007z"
-    assert [_one(spark, T.alphabetic(F.lit(n))) for n in (1, 26, 27, 53)] == ["A", "Z", "AA", "AAA"]
+    assert [_one(spark, T.alphabetic(F.lit(n))) for n in (1, 26, 27, 28, 52, 53, 702, 703, 0, -3)] == ["A", "Z", "AA", "AB", "AZ", "BA", "ZZ", "AAA", "", ""]
     assert [_one(spark, T.roman(F.lit(n))) for n in (4, 9, 1994)] == ["IV", "IX", "MCMXCIV"]
 
 
