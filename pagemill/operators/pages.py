@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
+from pagemill.operators.ranges import running
 
 
 def split_every(pages: DataFrame, n: int) -> DataFrame:
@@ -23,8 +24,8 @@ def split_at(pages: DataFrame, starts: DataFrame) -> DataFrame:
 
 def first_numbers(doc_pages: DataFrame, group: str, first: int = 1) -> DataFrame:
     """doc_pages (group, doc_id, n_pages) with the running number of each document's first page in its set."""
-    before = Window.partitionBy(group).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return doc_pages.withColumn("first_number", (F.coalesce(F.sum("n_pages").over(before), F.lit(0)) + first).cast("long"))
+    found = running(doc_pages, [group], ["doc_id"], {"_before": F.col("n_pages")})
+    return found.withColumn("first_number", (F.col("_before") + first).cast("long")).drop("_before", "nth")
 
 
 def numbered_pages(doc_pages: DataFrame, group: str, prefix: str, digits: int, suffix: str = "") -> DataFrame:
@@ -47,14 +48,15 @@ def page_labels(pages: DataFrame, runs: DataFrame) -> DataFrame:
 
 def merged(parts: DataFrame, order: list[str], group: str) -> DataFrame:
     """parts in one document a group: page_no is the position in the ordered concatenation."""
-    return parts.withColumn("merged_page", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return running(parts, [group], order).withColumn("merged_page", F.col("nth").cast("int")).drop("nth")
 
 
 def unique_names(fields: DataFrame, group: str, name: str, order: list[str]) -> DataFrame:
     """fields with unique_name: a repeated name gets ' (2)', ' (3)' in order; a missing one becomes Field and its number."""
     blank = F.coalesce(F.trim(name), F.lit("")) == ""
-    nth = F.row_number().over(Window.partitionBy(group, F.when(blank, "").otherwise(F.col(name))).orderBy(*order))
-    return fields.withColumn("unique_name", F.when(blank, F.concat(F.lit("Field"), nth.cast("string"))).when(nth == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), nth.cast("string"), F.lit(")"))))
+    keyed = running(fields.withColumn("_name", F.when(blank, "").otherwise(F.col(name))), [group, "_name"], order)
+    nth = F.col("nth")
+    return keyed.withColumn("unique_name", F.when(blank, F.concat(F.lit("Field"), nth.cast("string"))).when(nth == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), nth.cast("string"), F.lit(")")))).drop("_name", "nth")
 
 
 def moved(pages: DataFrame, source: int, target: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.operators.ranges import nearest_ranks
+
 
 def blank_as(value: Column, bucket: str) -> Column:
     """The value, or a named bucket where it is null or blank."""
@@ -28,8 +30,7 @@ def average(value: Column, digits: int = 6) -> Column:
 
 def percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Nearest-rank percentiles of each group, one column for each name; nulls are left out, groups without values give 0."""
-    ranked = "coalesce(CAST(percentile_disc({p}) WITHIN GROUP (ORDER BY {value}) AS DOUBLE), 0.0D)"
-    return rows.groupBy(*keys).agg(*(F.expr(ranked.format(p=p, value=value)).alias(name) for name, p in shares.items()))
+    return nearest_ranks(rows, keys, value, shares)
 
 
 def ratio(part: Column, whole: Column, digits: int = 6) -> Column:
@@ -45,11 +46,12 @@ def with_share(groups: DataFrame, total: str, digits: int = 6) -> DataFrame:
 def clusters(rows: DataFrame, keys: list[str], member: Column, most: int = 12) -> DataFrame:
     """Groups over several keys with blanks as 'none', their size and their first `most` members in order.
 
-    The members come from a ranked window, so that a large group never becomes one list.
+    Members are ranked apart from the count, so that of a large group each task sends only its first ones on.
     """
     named = rows.select(*(blank_as(F.col(k).cast("string"), "none").alias(k) for k in keys), member.alias("member"))
-    ranked = named.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("member")))
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("_r") <= most, F.col("member")))), ",").alias("members"))
+    ranked = named.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("member"))).where(F.col("_r") <= most)
+    first = ranked.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("member")), ",").alias("members"))
+    return named.groupBy(*keys).agg(F.count("*").alias("n")).join(first, keys)
 
 
 def looked_up(entries: DataFrame, known: DataFrame, value: str, prefix: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
 from pagemill.operators import batch, pages, reports
+from pagemill.operators.ranges import running
 from pagemill.plans.registry import register
 from pagemill.session import table
 from pagemill.sources import layout
@@ -55,10 +56,8 @@ def split_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of each source dealt in order over eight chunks."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    from pyspark.sql import Window
-
-    numbered = docs.withColumn("position", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long"))
-    return numbered.select("doc_id", (F.col("position") % 8).cast("int").alias("chunk"), "position")
+    position = F.col("nth") - 1
+    return running(docs, ["source"], ["doc_id"]).select("doc_id", (position % 8).cast("int").alias("chunk"), position.alias("position"))
 
 
 @register("o8_merge", f"WITH {_PAGES} SELECT lang, doc_id, page_no, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY doc_id, page_no) AS INTEGER) AS merged_page FROM page_rows")

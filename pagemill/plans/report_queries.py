@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
 from pagemill.operators import reports as R
+from pagemill.operators.ranges import running
 from pagemill.plans.registry import register
 from pagemill.session import table
 
@@ -316,8 +317,8 @@ def newest_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("s7_discovery", f"WITH {_SCAN}, r AS (SELECT path, row_number() OVER (PARTITION BY source ORDER BY path) - 1 AS n FROM scan) SELECT path, CAST(n AS INTEGER) AS position, CAST(n % 4 AS INTEGER) AS chunk FROM r")
 def discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The paths of each source in ordinal order, dealt over four chunks."""
-    position = (F.row_number().over(Window.partitionBy("source").orderBy("path")) - 1).cast("int")
-    return scan(spark, sf_dir).select("path", position.alias("position"), (position % 4).alias("chunk"))
+    position = (F.col("nth") - 1).cast("int")
+    return running(scan(spark, sf_dir).select("source", "path"), ["source"], ["path"]).select("path", position.alias("position"), (position % 4).alias("chunk"))
 
 
 @register("s10_last_wins", "SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")

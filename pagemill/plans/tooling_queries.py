@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
 from pagemill.operators import content, reports, tooling
+from pagemill.operators.ranges import running
 from pagemill.plans.registry import register
 from pagemill.plans.report_queries import _SCAN, scan
 from pagemill.session import table
@@ -273,10 +274,7 @@ def searchable_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("f13_file_names", "SELECT doc_id, source || '_REDACTED' || CASE WHEN n > 1 AND n - 1 <= 999 THEN '_' || (n - 1) ELSE '' END || '.pdf' AS suggested FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM documents)")
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suggested names of redacted copies, numbered where they meet."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id")) - 1
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit(".pdf")).alias("name"), n.alias("n"))
+    docs = running(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), ["source", "lang"], ["doc_id"]).select("doc_id", F.concat("source", F.lit(".pdf")).alias("name"), (F.col("nth") - 1).alias("n"))
     return docs.select("doc_id", tooling.suggested_name(F.col("name"), "_REDACTED", F.col("n")).alias("suggested"))
 
 
