@@ -203,6 +203,11 @@ def csv_quote(text: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
 
 
+def csv_number(number: Column) -> Column:
+    """At most six digits after the point, rounded half up, without zeros at the end and, for whole numbers, without the point."""
+    return F.when(number.isNotNull(), F.regexp_replace(F.format_string("%.6f", number.cast("double")), r"\.?0+$", ""))
+
+
 def manifest_path(path: Column) -> Column:
     return F.replace(F.trim(path), F.lit("\\"), F.lit("/"))
 
