@@ -51,9 +51,20 @@ def _encoder(path: str):
     return tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
+@lru_cache(maxsize=2)
+def _reference_encoder(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def token_ids(text: str | None, path: str, end_id: int) -> np.ndarray:
     """Ids of a whole text, then the end id; an added token's string in a text is its one id."""
-    ids = _encoder(path).encode_to_numpy(text or "", allowed_special="all")
+    try:
+        ids = _encoder(path).encode_to_numpy(text or "", allowed_special="all")
+    except ValueError:
+        # Its pattern runs out of stack on about a million blanks on end; the slower library has no such limit.
+        ids = np.array(_reference_encoder(path).encode(text, add_special_tokens=False).ids, np.uint32)
     return np.append(ids.astype(np.uint32), np.uint32(end_id))
 
 

@@ -11,3 +11,11 @@ def test_ids_equal_tokenizers(spark):
     expected = {i: [*own.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
     found = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).orderBy("piece").collect()
     assert {i: [x for r in found if r.doc_id == i for x in r.ids] for i in expected} == expected
+
+
+def test_a_million_blanks():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    text = "word" + " " * 1_000_000 + "end"
+    assert packing.token_ids(text, path, 2).tolist() == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 2]
