@@ -20,6 +20,11 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(gone.select(F.col("doc_id").alias("_gone_id")).distinct(), docs["doc_id"] == F.col("_gone_id"), "left_anti")
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the whole row as one column, so that no name of a caller's column meets one of an operator's."""
+    return docs.select("doc_id", "text", F.struct(*(f"`{c}`" for c in docs.columns)).alias("_row"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject at the balanced cut of its training rows."""
     scored = toxicity.toxic_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=None)
@@ -28,19 +33,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated line runs; those that lose all their lines go, n_chars follows the text."""
-    found = linededup.remove_repeated_lines(docs).where("n_removed = 0 or n_removed < n_lines")
-    length = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text")) if "n_chars" in docs.columns else None
-    return found.select(*(length.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns if c in found.columns))
+    found = linededup.remove_repeated_lines(_packed(docs)).where("n_removed = 0 or n_removed < n_lines")
+    changed = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("n_removed") == 0, F.col("_row.n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return found.select(*(changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group on 5-word shingles at similarity 0.8, and one row for each id and text; rows with
     a null id stay."""
-    numbered = keyed(docs.where("doc_id is not null"), name="_number")
+    numbered = keyed(_packed(docs.where("doc_id is not null")), name="_number")
     found = minhash.near_duplicates(numbered.select("_number", "text"), id_col="_number", shingle_words=5, percent=80)
     gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     once = numbered.dropDuplicates(["_number"]).join(gone, F.col("_number") == F.col("_gone"), "left_anti")
-    return once.drop("_number").unionByName(docs.where("doc_id is null"))
+    return once.select("_row.*").unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
