@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,21 +134,33 @@ def coverage_ratio(extracted: Column, expected: Column) -> Column:
     return F.coalesce(F.try_divide(letter_digit_count(extracted), F.nullif(letter_digit_count(expected), F.lit(0))), F.lit(1.0))
 
 
-def bigrams(text: Column) -> Column:
-    """Distinct pairs of neighbouring characters; one pass over the characters, so long texts stay linear."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.array_distinct(F.filter(F.zip_with(chars, F.slice(chars, F.lit(2), F.greatest(F.size(chars), F.lit(1))), lambda x, y: F.concat(x, y)), lambda g: g.isNotNull()))
-
-
-def jaccard(x: Column, y: Column) -> Column:
-    """Jaccard similarity of two arrays without repetitions; 1 when both are empty."""
-    both = F.size(F.array_intersect(x, y))
-    return F.coalesce(F.try_divide(both, F.size(x) + F.size(y) - both), F.lit(1.0))
+def _pairs(text: str) -> np.ndarray:
+    """Which pairs of neighbouring characters a text has, as numbers."""
+    if text.isascii():
+        codes = np.frombuffer(text.encode(), np.uint8).astype(np.int64)
+        held = np.flatnonzero(np.bincount((codes[:-1] << 7) | codes[1:], minlength=1)).astype(np.uint64)
+        return (held >> np.uint64(7) << np.uint64(32)) | (held & np.uint64(127))
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return np.unique((codes[:-1] << np.uint64(32)) | codes[1:])
 
 
 def bigram_jaccard(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the bigram sets; 1 when both texts are shorter than two."""
-    return jaccard(bigrams(a), bigrams(b))
+    """Jaccard similarity of the sets of pairs of neighbouring characters; 1 when both texts are shorter than two, null when one is null."""
+
+    @F.pandas_udf("double")
+    def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(left, right, strict=True):
+            if x is None or y is None:
+                out.append(None)
+                continue
+            p, q = _pairs(x), _pairs(y)
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            whole = len(p) + len(q) - both
+            out.append(both / whole if whole else 1.0)
+        return pd.Series(out, dtype="Float64")
+
+    return similarity(a, b)
 
 
 def page_tier(expected_key: Column, coverage: Column, similarity: Column) -> Column:

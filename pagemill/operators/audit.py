@@ -46,10 +46,9 @@ def words_not_seen(words: DataFrame, visible: DataFrame, keys: list[str]) -> Dat
 def page_confidence(pages: DataFrame) -> DataFrame:
     """pages (…, extracted, expected) with coverage, similarity and tier."""
     keyed = pages.withColumn("_kx", T.confidence_key(F.col("extracted"))).withColumn("_ke", T.confidence_key(F.col("expected")))
-    sets = keyed.withColumn("_gx", T.bigrams(F.col("_kx"))).withColumn("_ge", T.bigrams(F.col("_ke")))
     known = F.col("expected").isNotNull()
-    scored = sets.withColumn("coverage", F.when(known, T.coverage_ratio(F.col("extracted"), F.col("expected")))).withColumn("similarity", F.when(known, T.jaccard(F.col("_gx"), F.col("_ge"))))
-    return scored.withColumn("tier", T.page_tier(F.col("_ke"), F.col("coverage"), F.col("similarity"))).drop("_kx", "_ke", "_gx", "_ge")
+    scored = keyed.withColumn("coverage", F.when(known, T.coverage_ratio(F.col("extracted"), F.col("expected")))).withColumn("similarity", T.bigram_jaccard(F.col("_kx"), F.col("_ke")))
+    return scored.withColumn("tier", T.page_tier(F.col("_ke"), F.col("coverage"), F.col("similarity"))).drop("_kx", "_ke")
 
 
 def worst_tier(tier: Column) -> Column:

@@ -16,6 +16,7 @@ Matrix = tuple[float, float, float, float, float, float]
 IDENTITY: Matrix = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 #: Operators by what they do to the path; and the part of a colour from which it counts as white.
 SHOWS, FILLS, ENDS = frozenset(("Tj", "TJ", "'", '"')), frozenset(("f", "F", "f*", "B", "B*", "b", "b*")), frozenset("Ssn")
+PATH = frozenset(("m", "l", "c", "v", "y", "h", "re"))
 WHITE = 0.95
 _FOUND = "op_idx int, kind string, text string, depth int, l double, b double, r double, t double, red double, green double, blue double"
 
@@ -98,6 +99,45 @@ def scan(pages: DataFrame, keys: list[str]) -> DataFrame:
     return found.select(*keys, "op_idx", "kind", "text", "depth", G.rect(*map(F.col, "lbrt")).alias("box"), "red", "green", "blue")
 
 
+def covering_operators(ops: list[dict]) -> list[int]:
+    """Places of the fills that could hide text, with the parts of the path that they paint: those in a colour that is not all but white. A fill without a path
+    has no effect and stays, as strokes and images do. No colour set yet counts as white."""
+    dark, path, out = False, [], []
+    for i, op in enumerate(ops):
+        name, v = op["name"], op["operands"] or []
+        if None in v:
+            v = []
+        if name == "rg" and len(v) >= 3:
+            dark = min(v[:3]) < WHITE
+        elif name == "g" and v:
+            dark = v[0] < WHITE
+        elif name == "k" and len(v) >= 4:
+            dark = min((1 - c) * (1 - v[3]) for c in v[:3]) < WHITE
+        elif name in PATH:
+            path.append(i)
+        elif name in FILLS:
+            out += [*path, i] if dark and path else []
+            path = []
+        elif name in ENDS:
+            path = []
+    return out
+
+
+def without_covers(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """pages (keys, ops) with the operators left when all fills that could hide text are stripped, for reading what lies below; null ops stay null."""
+    key_types = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for ops in batch.column("ops").to_pylist():
+                gone = set(covering_operators(ops or []))
+                kept.append(None if ops is None else [op for i, op in enumerate(ops) if i not in gone])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(kept, batch.schema.field("ops").type)], names=[*keys, "ops"])
+
+    return pages.select(*keys, "ops").mapInArrow(run, f"{key_types}, ops {pages.schema['ops'].dataType.simpleString()}")
+
+
 def described() -> F.Column:
     """What a fill or an image is called in a report."""
     two = lambda c: F.format_string("%.2f", F.col(c))

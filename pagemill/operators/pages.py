@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
@@ -68,6 +68,46 @@ def moved(pages: DataFrame, source: int, target: int) -> DataFrame:
     return pages.withColumn("new_page_no", F.when(last >= source, shifted).otherwise(p).cast("int"))
 
 
+PageEdit = tuple[str, int] | tuple[str, int, int]
+
+
+def edited(documents: DataFrame, edits: list[PageEdit]) -> DataFrame:
+    """(doc_id, page_no, source_page, rotation) of documents (doc_id, n_pages) after edits in order, each on what the edits before have left.
+
+    ("remove", n), ("insert", n): a blank page before page n, or behind the last for one more, ("move", n, to), ("rotate", n, degrees): added to the page's, in 0 to 270. An edit of a
+    page that a document does not have leaves it as it is, so does one that would remove its only page. A blank page's source is null. Pages stay in their document's row
+    until the end; documents without pages have no rows.
+    """
+    page = "struct<source:int,rotation:int>"
+    state = F.transform(F.sequence(F.lit(1), F.col("n_pages").cast("int")), lambda p: F.struct(p.alias("source"), F.lit(0).alias("rotation")))
+    blank = F.array(F.struct(F.lit(None).cast("int").alias("source"), F.lit(0).alias("rotation")).cast(page))
+    rows = documents.where("n_pages > 0").select("doc_id", state.cast(f"array<{page}>").alias("_p"))
+    for kind, n, *rest in edits:
+        p, size = F.col("_p"), F.size("_p")
+        before, after = F.slice(p, F.lit(1), F.lit(max(n - 1, 0))), F.slice(p, F.lit(max(n + 1, 1)), size)
+        there = (size >= n) & F.lit(n >= 1)
+        if kind == "remove":
+            new, able = F.concat(before, after), there & (size > 1)
+        elif kind == "insert":
+            new, able = F.concat(before, blank, F.slice(p, F.lit(max(n, 1)), size)), (size >= n - 1) & F.lit(n >= 1)
+        elif kind == "move":
+            (to,) = rest
+            left = F.concat(before, after)
+            new, able = F.concat(F.slice(left, F.lit(1), F.lit(max(to - 1, 0))), F.array(F.get(p, F.lit(n - 1))), F.slice(left, F.lit(max(to, 1)), size)), there & (size >= to) & F.lit(to >= 1)
+        elif kind == "rotate":
+            (degrees,) = rest
+            new, able = _rotated(p, n, degrees), there
+        else:
+            raise ValueError(f"unknown edit {kind}")
+        rows = rows.withColumn("_p", F.when(able, new).otherwise(p))
+    return rows.select("doc_id", F.posexplode("_p").alias("at", "x")).select("doc_id", (F.col("at") + 1).alias("page_no"), F.col("x.source").alias("source_page"), F.col("x.rotation").alias("rotation"))
+
+
+def _rotated(pages: Column, n: int, degrees: int) -> Column:
+    turned = lambda x: F.struct(x["source"].alias("source"), F.pmod(x["rotation"] + degrees, F.lit(360)).cast("int").alias("rotation"))
+    return F.transform(pages, lambda x, i: F.when(i == n - 1, turned(x)).otherwise(x))
+
+
 def page_selection(pages: DataFrame, mode: str) -> DataFrame:
     """First: page 1. Sample: pages 1, 2, 5 and 20 where they exist. All: every page."""
     if mode == "First":

@@ -38,6 +38,24 @@ def segments(flagged: DataFrame, keys: list[str]) -> DataFrame:
     return runs.select(*keys, "segment_no", (F.col("_fate") == "kept").alias("kept"), F.when(F.col("_fate") == "kept", "None").otherwise(F.col("_fate")).alias("overlap"), "start", "stop", "text")
 
 
+def line_segments(lines: DataFrame, keys: list[str], area: Column, strategy: str = "AnyOverlap") -> DataFrame:
+    """The segments of removal_flags and segments from lines as rows (keys, letters array<struct<value, box>>), one letter a column: lines stay in their rows."""
+    letters = F.col("letters")
+    fate = F.transform(letters, lambda x: F.when(G.removed(x["box"], area, strategy), G.overlap_type(x["box"], area)).otherwise("kept"))
+    told = lines.where(F.size(letters) > 0).withColumn("_f", fate)
+    f, n = F.col("_f"), F.size("_f")
+    turns = F.filter(F.transform(f, lambda x, i: F.when((i == 0) | (x != F.get(f, i - 1)), i)), lambda i: i.isNotNull())
+    marked = told.withColumn("_a", turns)
+    stops = F.concat(F.slice("_a", F.lit(2), n), F.array(n))
+
+    def segment(a: Column, z: Column) -> Column:
+        return F.struct(a.alias("start"), z.alias("stop"), F.get(f, a).alias("fate"), F.array_join(F.transform(F.slice(letters, a + 1, z - a), lambda x: x["value"]), "").alias("text"))
+
+    found = marked.select(*keys, F.posexplode(F.zip_with("_a", stops, segment)).alias("segment_no", "s"))
+    kept = F.col("s.fate") == "kept"
+    return found.select(*keys, (F.col("segment_no") + 1).cast("long").alias("segment_no"), kept.alias("kept"), F.when(kept, "None").otherwise(F.col("s.fate")).alias("overlap"), "s.start", "s.stop", "s.text")
+
+
 def _rewritten(text: Column, ranges: Column, mark: str) -> Column:
     """The text with each letter in one of the sorted ranges as a mark, or left out if the mark is empty. Ranges that meet are taken as one."""
     init = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out"))

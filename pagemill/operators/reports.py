@@ -106,6 +106,18 @@ def until_first_failure(steps: DataFrame, group: str, order: str, failed: Column
     return steps.withColumn("_f", F.coalesce(F.sum(failed.cast("int")).over(before), F.lit(0))).where("_f = 0").drop("_f")
 
 
+#: A check of a gate: its name, the measure it looks at, its bound, whether that is the least or the most, and its unit.
+Check = tuple[str, str, float, str, str]
+
+
+def gate(measures: DataFrame, keys: list[str], checks: list[Check]) -> DataFrame:
+    """(keys, check, actual, threshold, unit, passed, gate_passed): each check of each row of measures, without those whose measure is null, as it was not
+    taken. gate_passed holds where all its checks passed, also where none was left."""
+    rows = F.array(*(F.struct(F.lit(name).alias("check"), F.col(measure).cast("double").alias("actual"), F.lit(float(bound)).alias("threshold"), F.lit(unit).alias("unit"), (F.col(measure) >= bound if side == "least" else F.col(measure) <= bound).alias("passed")) for name, measure, bound, side, unit in checks))
+    taken = measures.withColumn("_c", F.filter(rows, lambda c: c["actual"].isNotNull()))
+    return taken.withColumn("gate_passed", F.forall("_c", lambda c: c["passed"])).select(*keys, "gate_passed", F.explode("_c").alias("c")).select(*keys, "c.*", "gate_passed")
+
+
 def pairs_in_group(rows: DataFrame, keys: list[str], ordinal: str, value: str) -> DataFrame:
     """Unordered pairs of a bounded set of measurements in each group, with their absolute difference."""
     a = rows.select(*keys, F.col(ordinal).alias("first"), F.col(value).alias("_x"))
@@ -142,7 +154,7 @@ def confidence(status: Column, compared: Column) -> Column:
 
 
 #: Raw statuses of malformed inputs, and the markers of contracts that nobody has reviewed.
-MALFORMED = ("RECOVERED_MALFORMED_CONTENT", "MALFORMED_PDF", "EMPTY_DOC", "INVALID_PAGE_GEOMETRY")
+MALFORMED = ("MALFORMED_PDF", "EMPTY_DOC", "PASSWORD_REQUIRED", "INVALID_PAGE_GEOMETRY")
 UNREVIEWED = ("GENERATED", "NEEDS_REVIEW")
 
 

@@ -17,10 +17,10 @@ def substring_matches(lines: DataFrame, term: str, ignore_case: bool = True, ove
     needle = T.fold_text(term)
     needle = needle.lower() if ignore_case else needle
     n = len(needle)
-    spread = lines.withColumn("_f", T.folded_with_places(F.col("text"))).withColumn("_h", F.coalesce("_f.folded", "text"))
-    haystack = F.lower("_h") if ignore_case else F.col("_h")
+    spread = T.with_matching_form(lines)
+    haystack = F.lower("form.folded") if ignore_case else F.col("form.folded")
     hits = spread.where(F.contains(haystack, F.lit(needle))).withColumn("_s", F.explode(T.positions(haystack, needle, overlapping)))
-    at, last = F.col("_f.at"), F.length("text") + 1
+    at, last = F.col("form.at"), F.length("text") + 1
     start = F.coalesce(F.get(at, F.col("_s") - 1), F.col("_s"))
     stop = F.when(at.isNull(), F.col("_s") + n).otherwise(F.greatest(F.coalesce(F.get(at, F.col("_s") + n - 1), last), F.get(at, F.col("_s") + n - 2) + 1))
     return hits.select(*lines.columns, start.alias("start"), (stop - start).alias("length"))

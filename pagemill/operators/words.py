@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import geometry as G
@@ -29,6 +29,30 @@ def words_from_letters(letters: DataFrame, step: float = BASELINE_STEP, gap: flo
     return numbered.groupBy("doc_id", "page_no", "word_no").agg(F.min("line_no").alias("line_no"), F.min("col").alias("first_col"), text.alias("text"), box.alias("box"))
 
 
+def words_of_pages(pages: DataFrame, step: float = BASELINE_STEP, gap: float = GAP) -> DataFrame:
+    """The same words from pages as rows (doc_id, page_no, letters array<struct<line_no, col, value, l, b, r, t>>, in reading order): a page stays
+    in its row, so no letter moves. A word goes from a letter that starts one to the last before a blank or a start; boxes are made for words only."""
+    letters = F.col("letters")
+    at = lambda i: F.get(letters, i)
+    blank = lambda x: x["value"].rlike(r"^\s$")
+
+    def apart(before: Column, x: Column) -> Column:
+        return blank(before) | (F.abs(x["b"] - before["b"]) > step) | (x["l"] - before["r"] > gap)
+
+    starts = F.transform(letters, lambda x, i: F.when(~blank(x) & ((i == 0) | apart(at(i - 1), x)), i))
+    ends = F.transform(letters, lambda x, i: F.when(~blank(x) & ((i == F.size(letters) - 1) | blank(at(i + 1)) | apart(x, at(i + 1))), i))
+    spans = pages.withColumn("_a", F.filter(starts, lambda i: i.isNotNull())).withColumn("_z", F.filter(ends, lambda i: i.isNotNull()))
+
+    def word(a: Column, z: Column) -> Column:
+        own = F.slice(letters, a + 1, z - a + 1)
+        side = lambda name, pick: pick(F.transform(own, lambda x: x[name]))
+        box = G.rect(side("l", F.array_min), side("b", F.array_min), side("r", F.array_max), side("t", F.array_max))
+        return F.struct(at(a)["line_no"].alias("line_no"), at(a)["col"].alias("first_col"), F.array_join(F.transform(own, lambda x: x["value"]), "").alias("text"), box.alias("box"))
+
+    found = spans.select("doc_id", "page_no", F.posexplode(F.zip_with("_a", "_z", word)).alias("word_no", "w"))
+    return found.select("doc_id", "page_no", (F.col("word_no") + 1).cast("long").alias("word_no"), "w.line_no", "w.first_col", "w.text", "w.box")
+
+
 def line_words(lines: DataFrame) -> DataFrame:
     """(…, word_no, start, word) of each line's runs of non-blanks, natively from its text; start is 1-based."""
     parts = F.split("text", r"\s", -1)
@@ -42,6 +66,14 @@ def whole_word_matches(words: DataFrame, term: str) -> DataFrame:
     return words.where(F.lower(T.trim_edges(T.fold(F.col("text")))) == T.fold_text(term).lower()).withColumn("context", F.concat(F.lit("..."), F.col("text"), F.lit("...")))
 
 
+def whole_words_of_lines(lines: DataFrame, term: str) -> DataFrame:
+    """lines (…, text) with a row for each word that equals the term after folding of case and edge punctuation (word). A line is folded once, and only lines with the
+    term anywhere are cut into words."""
+    wanted = T.fold_text(term).lower()
+    found = T.with_matching_form(lines).where(F.contains(F.lower("form.folded"), F.lit(wanted)))
+    return found.select(*lines.columns, F.explode(F.split("form.folded", r"\s")).alias("word")).where(F.lower(T.trim_edges(F.col("word"))) == wanted)
+
+
 def spans_of_matches(matches: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
     """matches (keys, start, length) with the first and last word each overlaps; a match without a word is dropped.
 

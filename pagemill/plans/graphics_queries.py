@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.operators import graph, graphics
+from pagemill.operators import graph, graphics, safety
 from pagemill.plans.registry import register
 from pagemill.session import table
 from pagemill.sources import markup
+from pagemill.storage import stored
 
 _TOKENS = """pieces AS (SELECT page_id, k - 1 AS piece_no, ps[k] AS piece FROM (SELECT page_id, ps, unnest(range(1, len(ps) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(html, '<[^>]*>|[^<]+') AS ps FROM pages WHERE html IS NOT NULL))),
 tagged AS (SELECT *, regexp_extract(piece, '^</?([a-z][a-z0-9]*)', 1) AS tag, starts_with(piece, '</') AS closes FROM pieces)"""
@@ -55,6 +56,38 @@ def hidden_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphics.hidden_texts(_scanned(spark, sf_dir), ["page_id"]).select("page_id", "op_idx", F.md5("text").alias("text_md5"), "hidden_by", "what")
 
 
+@register("c16_safety_report", f"""WITH RECURSIVE {_SCAN}, bodies AS (SELECT page_id AS doc_id, regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), 'e', '', 'g') AS text, len(regexp_extract_all(html, '<meta')) AS info, contains(html, 'lang=') AS xmp, len(regexp_extract_all(html, '<script')) AS embedded FROM pages),
+asked AS (SELECT page_id AS doc_id, CASE WHEN op_idx % 7 = 0 THEN 2 ELSE 1 END AS page_no, l, b, r, t, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS term FROM found WHERE kind = 'text' AND length(text) <= 12),
+areas AS (SELECT doc_id, count(*) AS n_areas, count(*) FILTER (WHERE page_no = 2) AS skipped, list_filter(list_distinct(list(term)), lambda x: x <> '') AS terms FROM asked GROUP BY 1),
+hid AS (SELECT page_id AS doc_id, count(DISTINCT op_idx) AS n FROM (SELECT x.page_id, x.op_idx FROM found x JOIN found c ON c.page_id = x.page_id AND x.kind = 'text' AND c.kind <> 'text' AND c.op_idx > x.op_idx
+  WHERE greatest(least(x.r, c.r) - greatest(x.l, c.l), 0) * greatest(least(x.t, c.t) - greatest(x.b, c.b), 0) / greatest((x.r - x.l) * (x.t - x.b), 1e-6) >= 0.5) GROUP BY 1),
+img AS (SELECT a.doc_id, count(*) AS n FROM asked a JOIN found f ON f.page_id = a.doc_id AND f.kind = 'image' AND a.page_no = 1 AND a.l < f.r AND a.r > f.l AND a.b < f.t AND a.t > f.b GROUP BY 1),
+s AS (SELECT d.doc_id, coalesce(n_areas, 0) AS n_areas, coalesce(skipped, 0) AS skipped, coalesce(terms, []) AS terms, trim(regexp_replace(lower(d.text), '\s+', ' ', 'g')) AS text, info, xmp, embedded, coalesce(hid.n, 0) AS hidden, coalesce(img.n, 0) AS images FROM bodies d LEFT JOIN areas USING (doc_id) LEFT JOIN hid USING (doc_id) LEFT JOIN img USING (doc_id)),
+k AS (SELECT *, len(list_filter(terms, lambda x: length(x) >= 3)) AS checked, len(list_filter(terms, lambda x: length(x) >= 3 AND contains(text, x))) AS remaining FROM s)
+SELECT doc_id, n_areas, skipped AS n_areas_skipped, len(terms) AS n_previews, checked AS n_previews_checked, remaining AS n_previews_left, len(terms) - checked AS n_previews_short, CASE WHEN checked = 0 THEN 'NotChecked' WHEN remaining > 0 THEN 'Warning' ELSE 'Verified' END AS content_status,
+  CASE WHEN hidden > 0 THEN 'Warning' ELSE 'Verified' END AS hidden_text_status, CASE WHEN n_areas = 0 THEN 'NotChecked' WHEN images > 0 THEN 'Warning' ELSE 'Verified' END AS image_status, true AS metadata_scrubbed, info AS info_fields_scrubbed, xmp AS had_xmp, true AS attachments_scrubbed, embedded AS n_embedded_before,
+  hidden AS n_hidden, images AS n_image_overlaps, concat_ws('; ', CASE WHEN skipped > 0 THEN skipped || ' areas skipped, as their page does not exist' END, CASE WHEN remaining > 0 THEN remaining || ' captured previews still in the text' END, CASE WHEN hidden > 0 THEN hidden || ' hidden texts left to look at' END, CASE WHEN images > 0 THEN images || ' images still cross redacted areas' END) AS warnings,
+  skipped + remaining + hidden + images > 0 AS has_warnings FROM k""")
+def safety_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The safety report on every page as a document whose short texts were to go, in a copy that has lost one letter throughout."""
+    pages = table(spark, sf_dir, "pages")
+    scan = stored(_scanned(spark, sf_dir))
+    html = F.col("html")
+    docs = pages.select(F.col("page_id").alias("doc_id"), F.regexp_replace(F.regexp_replace(html, "<[^>]*>", " "), "e", "").alias("text"), F.lit(1).alias("n_pages"), F.regexp_count(html, F.lit("<meta")).alias("info_fields"), F.contains(html, F.lit("lang=")).alias("has_xmp"), F.regexp_count(html, F.lit("<script")).alias("n_embedded"))
+    requests = scan.where("kind = 'text' and length(text) <= 12").select(F.col("page_id").alias("doc_id"), F.when(F.col("op_idx") % 7 == 0, 2).otherwise(1).alias("page_no"), F.col("box").alias("area"), F.col("text").alias("preview"))
+    hidden = graphics.hidden_texts(scan, ["page_id"]).select(F.col("page_id").alias("doc_id"))
+    images = scan.where("kind = 'image'").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page_no"), "box")
+    return safety.safety_report(docs, requests, hidden, images).withColumn("warnings", F.array_join("warnings", "; "))
+
+
+@register("c11_stripped_pages", f"WITH RECURSIVE {_SCAN}, cut AS (SELECT page_id, count(*) AS n FROM tagged WHERE NOT closes AND tag IN ('h1', 'br', 'article') GROUP BY 1) SELECT n.page_id, count(*) AS n_before, count(*) - 2 * coalesce(any_value(c.n), 0) AS n_left, count(*) FILTER (WHERE name = 'f') - coalesce(any_value(c.n), 0) AS fills_left FROM numbered n LEFT JOIN cut c USING (page_id) GROUP BY 1")
+def stripped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operators of every page before and after the fills that could hide text are stripped; white ones stay."""
+    pages = markup.page_operators(table(spark, sf_dir, "pages").where("html is not null")).where(F.size("ops") > 0)
+    left = graphics.without_covers(pages, ["page_id"]).select("page_id", F.size("ops").cast("long").alias("n_left"), F.size(F.filter("ops", lambda x: x["name"] == "f")).cast("long").alias("fills_left"))
+    return pages.select("page_id", F.size("ops").cast("long").alias("n_before")).join(left, "page_id")
+
+
 _OBJECTS = _TOKENS + """, open_ AS (SELECT page_id, piece_no, tag, level - 1 AS level FROM (SELECT *, sum(CASE WHEN closes THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY piece_no) AS level FROM tagged WHERE tag <> '') WHERE NOT closes),
 objects AS (SELECT o.page_id, o.piece_no AS object_no, o.tag, o.level, p.piece_no AS parent_no FROM open_ o ASOF LEFT JOIN open_ p ON p.page_id = o.page_id AND p.level = o.level - 1 AND p.piece_no < o.piece_no)"""
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import geometry as G
-from pagemill.operators import locate
+from pagemill.operators import content, locate, redaction
 from pagemill.plans.registry import register
 from pagemill.plans.search_queries import _LETTERS, _LINES
 from pagemill.session import table
@@ -40,6 +40,26 @@ def operation_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locate.operation_letters(pages, ["doc_id", "page_no"]).select("doc_id", "page_no", "op_idx", "first", "n", "way", "box.l", "box.b", "box.r", "box.t")
 
 
+_OPS = """ops AS (SELECT doc_id, page_no, row * 5 + k AS op_idx, k, CASE WHEN k = 3 THEN 720 - 12 * row END AS b, 72 + 6 * length(text) AS r FROM (SELECT *, unnest(range(5)) AS k FROM lines WHERE length(text) > 0))"""
+
+
+@register("c7_fluent_redaction", f"""WITH {_LETTERS}, {_OPS}, ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line_no, col) AS pos FROM letters),
+grams AS (SELECT doc_id, page_no, string_agg(value, '') OVER w AS gram, min(l) OVER w AS l, min(b) OVER w AS b, max(l) OVER w + 5 AS r, max(b) OVER w + 10 AS t FROM ordered WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+pages_ AS (SELECT DISTINCT doc_id, page_no FROM lines),
+marks AS (SELECT doc_id, page_no, 0 AS action, 142.0 AS l, 420.0 AS b, 325.0 AS r, 500.0 AS t FROM pages_ UNION ALL SELECT doc_id, page_no, 1, l, b, r, t FROM grams WHERE gram = 'tion' UNION ALL SELECT doc_id, page_no, 2, l, b, l + 5, b + 10 FROM letters WHERE value = 'Z'),
+crossed AS (SELECT o.doc_id, o.page_no, o.op_idx, min(action) AS action FROM ops o JOIN marks m ON m.doc_id = o.doc_id AND m.page_no = o.page_no AND 72 < m.r AND o.r > m.l AND o.b < m.t AND o.b + 10 > m.b GROUP BY ALL),
+gone AS (SELECT o.doc_id, o.page_no, count(*) AS n, count(*) FILTER (WHERE c.action IS NOT NULL OR o.k = 2) AS removed FROM ops o LEFT JOIN crossed c USING (doc_id, page_no, op_idx) GROUP BY 1, 2),
+hits AS (SELECT doc_id, page_no, count(*) AS marks, count(*) FILTER (WHERE action = 0) AS areas_redacted, count(*) FILTER (WHERE action = 1) AS text_occurrences, count(*) FILTER (WHERE action = 2) AS letters_redacted FROM marks GROUP BY 1, 2)
+SELECT doc_id, page_no, coalesce(removed, 0) AS operators_removed, areas_redacted, text_occurrences, letters_redacted, coalesce(n, 0) - coalesce(removed, 0) + 5 * marks AS n_left FROM hits LEFT JOIN gone USING (doc_id, page_no)""")
+def fluent_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page after an area, a text, some letters and a category of operators have been redacted and painted over."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    wanted = redaction.Redaction().area(142.0, 420.0, 325.0, 500.0).text("tion").letters(lambda x: x["value"] == "Z").category("TextPositioning")
+    left, counts = wanted.apply(content.layout_operators(docs), layout.page_letters(docs))
+    n_left = left.groupBy("doc_id", "page_no").agg(F.count("*").alias("n_left"))
+    return counts.join(n_left, ["doc_id", "page_no"], "left").select("doc_id", "page_no", "operators_removed", "areas_redacted", "text_occurrences", "letters_redacted", "n_left")
+
+
 #: Of the letters of a line every seventh is small and raised, and every fifth line is drawn 4 above its place.
 @register("w14_viewer_order", f"""WITH RECURSIVE {_LETTERS}, placed AS (SELECT doc_id, page_no, row * 100000 + col AS ordinal, value, l, CASE WHEN col % 7 = 3 THEN 6 ELSE 10 END AS size, b + CASE WHEN row % 5 = 2 THEN 4 ELSE 0 END + CASE WHEN col % 7 = 3 THEN 5 ELSE 0 END AS b FROM letters WHERE value <> ' '),
 given AS (SELECT *, b + size AS t, b + size / 2 AS centre FROM placed),

@@ -79,6 +79,14 @@ def move_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.moved(_page_rows(spark, sf_dir).select("doc_id", "page_no"), 3, 1)
 
 
+@register("o12_page_edits", f"""WITH {_PAGES}, a AS (SELECT doc_id, CASE WHEN n_pages > 1 THEN list_concat([1], range(3, n_pages + 1)) ELSE range(1, n_pages + 1) END AS p FROM doc_pages WHERE n_pages > 0), b AS (SELECT doc_id, list_concat([NULL], p) AS p FROM a),
+x AS (SELECT doc_id, unnest(CASE WHEN len(p) >= 3 THEN list_concat(p[2:3], p[1:1], p[4:]) ELSE p END) AS source_page, unnest(range(1, len(p) + 1)) AS page_no FROM b)
+SELECT doc_id, CAST(page_no AS INTEGER) AS page_no, CAST(source_page AS INTEGER) AS source_page, CASE WHEN page_no = 2 THEN 270 ELSE 0 END AS rotation FROM x""")
+def page_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pages after page 2 is removed, a blank page put first and moved to place 3, and page 2 turned."""
+    return pages.edited(_doc_pages(spark, sf_dir), [("remove", 2), ("insert", 1), ("move", 1, 3), ("rotate", 2, 90), ("rotate", 2, -180)])
+
+
 @register("j13_page_labels", f"""WITH {_PAGES}, x AS (SELECT doc_id, page_no, CASE WHEN page_no < 3 THEN 1 ELSE 3 END AS start FROM page_rows)
 SELECT doc_id, page_no, CASE WHEN start = 1 THEN CASE page_no WHEN 1 THEN 'I' ELSE 'II' END ELSE CAST(page_no - start + 1 AS VARCHAR) END AS label FROM x""")
 def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +111,26 @@ def label_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("n", T.roman(F.col("n")).alias("roman"), T.alphabetic(F.col("n")).alias("letters"))
 
 
+_JOBS = """jobs AS (SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'info' WHEN 1 THEN ' text ' WHEN 2 THEN 'redact' WHEN 3 THEN 'audit-hidden-text' WHEN 4 THEN 'shred' END AS command, CASE WHEN length(text) % 5 = 0 THEN ' ' ELSE role || '.pdf' END AS input, CASE WHEN length(text) % 7 = 0 THEN role || '.pdf' WHEN length(text) % 11 = 0 THEN NULL ELSE 'out.pdf' END AS output,
+  CASE WHEN length(text) % 13 = 0 THEN 'EMPTY_FIELD' WHEN length(text) % 17 = 0 THEN 'FILE_NOT_FOUND' WHEN length(text) % 19 = 0 THEN 'BROKEN' END AS raised FROM conversations WHERE text IS NOT NULL)"""
+
+
+@register("c20_workflow", f"""WITH {_JOBS}, n AS (SELECT *, CASE trim(command) WHEN 'info' THEN 'document.info' WHEN 'text' THEN 'text.extract' WHEN 'redact' THEN 'redaction.apply' WHEN 'audit-hidden-text' THEN 'audit.hidden-text' ELSE trim(command) END AS name FROM jobs),
+e AS (SELECT *, CASE WHEN coalesce(name, '') = '' THEN 'MISSING_COMMAND' WHEN name = 'shred' THEN 'UNKNOWN_COMMAND' WHEN trim(input) = '' THEN 'MISSING_INPUT' WHEN name = 'redaction.apply' AND coalesce(trim(output), '') = '' THEN 'MISSING_OUTPUT' WHEN name = 'redaction.apply' AND output = input THEN 'UNSAFE_OVERWRITE_REFUSED' ELSE CASE WHEN raised = 'BROKEN' THEN 'OPERATION_FAILED' ELSE raised END END AS code FROM n),
+c AS (SELECT *, CASE WHEN code IS NULL THEN NULL WHEN code = 'UNSAFE_OVERWRITE_REFUSED' THEN 'SECURITY' WHEN code LIKE 'MISSING%' OR code = 'UNKNOWN_COMMAND' THEN 'SCHEMA' WHEN code = 'EMPTY_FIELD' THEN 'VALIDATION' WHEN code = 'FILE_NOT_FOUND' THEN 'INPUT' ELSE 'RUNTIME' END AS category FROM e),
+r AS (SELECT *, coalesce(sum(CASE WHEN code IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS ran FROM c)
+SELECT conv_id, count(*) AS n_steps, count(*) FILTER (WHERE ran) AS n_run, any_value(code) FILTER (WHERE ran AND code IS NOT NULL) AS error_code, any_value(category) FILTER (WHERE ran AND code IS NOT NULL) AS category,
+  CASE any_value(category) FILTER (WHERE ran AND code IS NOT NULL) WHEN 'INPUT' THEN 1 WHEN 'RUNTIME' THEN 1 WHEN 'SCHEMA' THEN 2 WHEN 'SECURITY' THEN 2 WHEN 'VALIDATION' THEN 2 ELSE 0 END AS exit_code FROM r GROUP BY 1""")
+def workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of steps up to its first error: what the error was, of which category, and the run's exit code."""
+    turns = table(spark, sf_dir, "conversations").where("text is not null")
+    n, k = F.length("text"), F.col("turn") % 6
+    command = F.when(k == 0, "info").when(k == 1, " text ").when(k == 2, "redact").when(k == 3, "audit-hidden-text").when(k == 4, "shred")
+    file = F.concat("role", F.lit(".pdf"))
+    steps = turns.select("conv_id", "turn", command.alias("command"), F.when(n % 5 == 0, " ").otherwise(file).alias("input"), F.when(n % 7 == 0, file).when(n % 11 == 0, None).otherwise("out.pdf").alias("output"), F.when(n % 13 == 0, "EMPTY_FIELD").when(n % 17 == 0, "FILE_NOT_FOUND").when(n % 19 == 0, "BROKEN").alias("raised"))
+    return batch.run_results(batch.checked(steps, {"EMPTY_FIELD"}), "conv_id", "turn")
+
+
 _STEPS = "steps AS (SELECT conv_id, turn, role, length(text) AS n, CASE WHEN length(text) > 900 THEN 'FAIL' ELSE 'PASS' END AS status FROM conversations WHERE text IS NOT NULL)"
 
 

@@ -144,6 +144,17 @@ def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, sf_dir).groupBy("source").agg(F.bool_and((F.col("status") != "DIFF") | (F.col("own") < 0.9)).alias("passed"), (F.avg((F.col("status") == "PASS").cast("double")) >= 0.6).alias("rate_ok"))
 
 
+@register("a24_checks", f"""WITH {_SCAN}, m AS (SELECT source, avg(elapsed_ms) AS elapsed, avg(CASE WHEN render_ms >= 0 THEN render_ms END) AS render, avg(CASE WHEN status = 'PASS' THEN 1.0 ELSE 0.0 END) AS rate, avg(CASE WHEN status = 'PASS_ONE' THEN r1 END) AS one FROM scan GROUP BY 1),
+c AS (SELECT source, 'elapsed-average' AS "check", elapsed AS actual, 490.0 AS threshold, 'ms' AS unit, elapsed <= 490 AS passed FROM m UNION ALL SELECT source, 'render-average', render, 240.0, 'ms', render <= 240 FROM m UNION ALL SELECT source, 'pass-rate', rate, 0.8, 'ratio', rate >= 0.8 FROM m UNION ALL SELECT source, 'one-reference', one, 0.4, 'ratio', one >= 0.4 FROM m)
+SELECT source, "check", round(actual, 6) AS actual, threshold, unit, passed, bool_and(passed) OVER (PARTITION BY source) AS gate_passed FROM c WHERE actual IS NOT NULL""")
+def gate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every check of each source's gate; a check whose measure was not taken is left out."""
+    status = F.col("status")
+    measures = scan(spark, sf_dir).groupBy("source").agg(F.avg("elapsed_ms").alias("elapsed"), F.avg(R.measured(F.col("render_ms"))).alias("render"), F.avg((status == "PASS").cast("double")).alias("rate"), F.avg(F.when(status == "PASS_ONE", F.col("r1"))).alias("one"))
+    checks = [("elapsed-average", "elapsed", 490.0, "most", "ms"), ("render-average", "render", 240.0, "most", "ms"), ("pass-rate", "rate", 0.8, "least", "ratio"), ("one-reference", "one", 0.4, "least", "ratio")]
+    return R.gate(measures, ["source"], checks).withColumn("actual", F.round("actual", 6))
+
+
 _CONTRACTS = "contracts AS (SELECT DISTINCT 'f' || doc_id AS path, CASE WHEN toxic = 1 THEN 'NEEDS_REVIEW' WHEN quality = 0 THEN '' ELSE 'PASS' END AS expected FROM labels)"
 
 
@@ -291,17 +302,6 @@ def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(once).alias("_n", "heading")).select("page_id", "heading", (F.col("_n") + 1).alias("n"))
 
 
-@register("k18_merged_reports", f"WITH {_SCAN}, u AS (SELECT path, status, elapsed_ms FROM scan WHERE doc_id % 2 = 0 UNION ALL SELECT path, status, render_ms FROM scan WHERE doc_id % 2 = 1 UNION ALL SELECT 'chunk-' || (doc_id % 2), 'SCANNER_CRASH', NULL FROM scan WHERE doc_id IN (4, 5)) SELECT status, count(*) AS n, max(elapsed_ms) AS slowest FROM u GROUP BY 1")
-def merged_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunk reports with different column names as one, with a synthetic row for each crashed chunk."""
-    rows = scan(spark, sf_dir)
-    one = rows.where("doc_id % 2 = 0").select("path", "status", "elapsed_ms")
-    two = rows.where("doc_id % 2 = 1").select(F.col("path").alias("Path"), F.col("status").alias("Status"), F.col("render_ms").alias("ElapsedMs"))
-    two = two.select(F.col("Path").alias("path"), F.col("Status").alias("status"), F.col("ElapsedMs").alias("elapsed_ms"))
-    crashed = rows.where("doc_id in (4, 5)").select(F.concat(F.lit("chunk-"), (F.col("doc_id") % 2).cast("string")).alias("path"), F.lit("SCANNER_CRASH").alias("status"))
-    return one.unionByName(two).unionByName(crashed, allowMissingColumns=True).groupBy("status").agg(F.count("*").alias("n"), F.max("elapsed_ms").alias("slowest"))
-
-
 @register("k20_slowest", f"WITH {_SCAN} SELECT path, elapsed_ms FROM scan ORDER BY elapsed_ms DESC, path LIMIT 5")
 def slowest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, sf_dir).orderBy(F.desc("elapsed_ms"), "path").limit(5).select("path", "elapsed_ms")

@@ -39,8 +39,8 @@ def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, page_no, count(*) AS n FROM w WHERE lower(trim(word, '.,:;!?"''()[]')) = 'idiot' GROUP BY doc_id, page_no""")
 def whole_word_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole-word matches by page."""
-    found = layout.text_lines(_docs(spark, sf_dir)).select("doc_id", "page_no", F.explode(F.split("text", r"\s")).alias("text"))
-    return words.whole_word_matches(found, "idiot").groupBy("doc_id", "page_no").agg(F.count("*").alias("n"))
+    lines = layout.text_lines(_docs(spark, sf_dir)).select("doc_id", "page_no", "text")
+    return words.whole_words_of_lines(lines, "idiot").groupBy("doc_id", "page_no").agg(F.count("*").alias("n"))
 
 
 @register("c3_regex_search", f"""WITH {_LINES}, m AS (SELECT doc_id, page_no, line_no, regexp_extract_all(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+') AS ms FROM lines)
@@ -122,7 +122,7 @@ def term_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, page_no, CAST(count(DISTINCT word_no) AS BIGINT) AS n_words, CAST(count(*) AS BIGINT) AS n_letters, CAST(sum(word_no * (col + 1)) AS BIGINT) AS checksum FROM numbered WHERE NOT space GROUP BY doc_id, page_no""")
 def word_building(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every page, built from letters by gaps."""
-    found = words.words_from_letters(layout.letters(_docs(spark, sf_dir)))
+    found = words.words_of_pages(layout.page_letters(_docs(spark, sf_dir)))
     n = F.length("text").cast("long")
     first = F.col("first_col").cast("long") + 1
     places = F.col("word_no") * (n * first + n * (n - 1) / 2)
@@ -178,7 +178,8 @@ SELECT doc_id, line_no, CAST(segment_no AS BIGINT) AS segment_no, fate = 'kept'
 FROM n GROUP BY doc_id, line_no, segment_no, fate""")
 def keep_remove_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of letters of each line with one fate under area redaction."""
-    return redact.segments(redact.removal_flags(layout.letters(_docs(spark, sf_dir)), _area(140, 420, 323, 605)), ["doc_id", "line_no"])
+    lines = layout.line_letters(_docs(spark, sf_dir)).select("doc_id", "line_no", "letters")
+    return redact.line_segments(lines, ["doc_id", "line_no"], _area(140, 420, 323, 605))
 
 
 @register("f5_redaction_form", """SELECT doc_id, md5(regexp_replace(trim(replace(replace(replace(text, '’', ''''), '–', '-'), '—', '-')), '\\s+', ' ', 'g')) AS digest FROM documents""")

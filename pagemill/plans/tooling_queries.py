@@ -168,12 +168,12 @@ def visible_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tooling.visible(letters).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-_FIELDS = "fields AS (SELECT conv_id AS doc_id, turn AS ordinal, CASE role WHEN 'user' THEN 'text' ELSE 'choice' END AS kind, role || '.' || (turn % 3) AS full_name, left(text, 40) AS value FROM conversations)"
+_FIELDS = "fields AS (SELECT conv_id AS doc_id, turn AS ordinal, CASE role WHEN 'user' THEN 'text' ELSE 'choice' END AS kind, role || '.' || (turn % 3) AS full_name, text AS value FROM conversations)"
 
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    return turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), F.when(F.col("role") == "user", "text").otherwise("choice").alias("kind"), F.concat("role", F.lit("."), (F.col("turn") % 3).cast("string")).alias("full_name"), F.substring("text", 1, 40).alias("value"))
+    return turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), F.when(F.col("role") == "user", "text").otherwise("choice").alias("kind"), F.concat("role", F.lit("."), (F.col("turn") % 3).cast("string")).alias("full_name"), F.col("text").alias("value"))
 
 
 @register("p15_find_field", f"WITH {_FIELDS} SELECT doc_id, ordinal, kind, value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS n FROM fields WHERE kind = 'text' AND full_name = 'user.0') WHERE n = 1")
@@ -302,19 +302,6 @@ def letter_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.length("text").alias("n"), F.length(F.coalesce("f.folded", "text")).alias("n_folded"))
 
 
-@register("j3_passwords", f"""WITH {_SCAN}, pw AS (SELECT path, 'pw' || doc_id AS password FROM scan WHERE doc_id % 4 = 0 UNION ALL SELECT 'f' || doc_id, 'file' || doc_id FROM scan WHERE doc_id % 5 = 0 AND doc_id % 3 <> 0)
-SELECT s.path, coalesce(a.password, b.password) AS password FROM scan s LEFT JOIN pw a ON a.path = s.path LEFT JOIN pw b ON b.path = CASE WHEN s.path LIKE 'pdfjs/%' THEN substr(s.path, 7) END""")
-def passwords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The password of each file: by its path, else by the path without its first folder."""
-    rows = scan(spark, sf_dir)
-    one = rows.where("doc_id % 4 = 0").select("path", F.concat(F.lit("pw"), "doc_id").alias("password"))
-    two = rows.where("doc_id % 5 = 0 and doc_id % 3 <> 0").select(F.concat(F.lit("f"), "doc_id").alias("path"), F.concat(F.lit("file"), "doc_id").alias("password"))
-    known = one.unionByName(two)
-    other = F.when(F.col("path").startswith("pdfjs/"), F.substring("path", 7, 1000))
-    found = rows.select("path", other.alias("_o")).join(known, "path", "left").join(known.select(F.col("path").alias("_o"), F.col("password").alias("_p")), "_o", "left")
-    return found.select("path", F.coalesce("password", "_p").alias("password"))
-
-
 @register("s14_csv_rows", f"WITH {_SCAN} SELECT '\"' || path || '\",' || status || ',' || CASE WHEN render_ms < 0 THEN '' ELSE CAST(CAST(render_ms AS BIGINT) AS VARCHAR) END AS line FROM scan")
 def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a page report as CSV: quoted paths, whole numbers without a point, nothing where nothing was measured."""

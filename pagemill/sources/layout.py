@@ -5,7 +5,9 @@ A line of text is a line of the page, 60 lines a page; a letter is 5 wide and 10
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.geometry import rect
@@ -35,6 +37,24 @@ def letters(docs: DataFrame, keep_spaces: bool = True) -> DataFrame:
     return found.select("doc_id", "page_no", "line_no", "col", "value", rect(left, bottom, left + 5, bottom + 10).alias("box"))
 
 
+def page_letters(docs: DataFrame) -> DataFrame:
+    """(doc_id, page_no, letters): the letters of each page as one array of (line_no, col, value, l, b, r, t) in reading order; a page of empty lines has an empty one."""
+
+    def letter(line_no: Column, row: Column) -> Callable[[Column, Column], Column]:
+        left, bottom = lambda c: 72.0 + 6 * c, 720.0 - 12 * row
+        sides = lambda c: (left(c).alias("l"), bottom.alias("b"), (left(c) + 5).alias("r"), (bottom + 10).alias("t"))
+        return lambda v, c: F.struct(line_no.cast("int").alias("line_no"), c.alias("col"), v.alias("value"), *sides(c))
+
+    def page(lines: Column) -> Callable[[Column], Column]:
+        values = lambda line: F.filter(F.split(line, ""), lambda v: v != "")
+        return lambda p: F.flatten(F.transform(F.slice(lines, p * LINES_PER_PAGE + 1, F.lit(LINES_PER_PAGE)), lambda line, r: F.transform(values(line), letter(p * LINES_PER_PAGE + r, r))))
+
+    lined = docs.where("text is not null").select("doc_id", F.split("text", "\n", -1).alias("lines"))
+    n = F.ceil(F.size("lines") / LINES_PER_PAGE).cast("int")
+    made = F.transform(F.sequence(F.lit(0), n - 1), page(F.col("lines")))
+    return lined.select("doc_id", F.posexplode(made).alias("page_no", "letters")).select("doc_id", (F.col("page_no") + 1).alias("page_no"), "letters")
+
+
 def line_letters(docs: DataFrame) -> DataFrame:
     """(doc_id, page_no, line_no, row, letters): the letters of each line as an array of (value, box), place i in column i."""
     values = F.filter(F.split("text", ""), lambda v: v != "")

@@ -80,3 +80,11 @@ def test_empty_requirement_matches_nothing(spark):
     files = spark.createDataFrame([("f", ["a"])], "file string, features array<string>")
     needs = spark.createDataFrame([("r", [], "all"), ("s", ["a", "b"], "any")], "requirement string, needed array<string>, mode string")
     assert [r.requirement for r in reports.requirement_matches(files, needs).collect()] == ["s"]
+
+
+def test_bigram_jaccard_of_plain_and_other_texts(spark):
+    pairs = [("abab", "ab"), ("naïve", "naive"), ("日本語", "本語日"), ("é", "e"), ("\U0001f600\U0001f600x", "\U0001f600x"), ("aaaa", "aab"), (None, "ab"), ("", "ab")]
+    sets = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
+    expected = [None if a is None or b is None else len(sets(a) & sets(b)) / len(sets(a) | sets(b)) if sets(a) | sets(b) else 1.0 for a, b in pairs]
+    found = spark.createDataFrame(pairs, "a string, b string").select(T.bigram_jaccard(F.col("a"), F.col("b")).alias("s")).collect()
+    assert [r.s for r in found] == expected
