@@ -31,10 +31,12 @@ def _dealt(items: DataFrame, keys: list[str], box: str, levels: Column) -> DataF
     return at.withColumn("_home", F.col("_home") == F.col("_level"))
 
 
-def _levels(items: DataFrame, box: str) -> Column:
-    """The levels in use, at most HIGHEST - LOWEST + 1 numbers."""
-    found = items.select(_level(F.col(box)).alias("v")).where("v is not null").distinct().collect()
-    return F.array(*(F.lit(r.v) for r in found)) if found else F.array().cast("array<int>")
+def _levels(left: DataFrame, right: DataFrame, left_box: str, right_box: str) -> tuple[Column, Column]:
+    """The levels that each side uses, at most HIGHEST - LOWEST + 1 numbers a side, found in one job."""
+    both = left.select(F.lit(0).alias("side"), _level(F.col(left_box)).alias("v")).unionByName(right.select(F.lit(1).alias("side"), _level(F.col(right_box)).alias("v")))
+    found = both.distinct().collect()
+    listed = [F.array(*(F.lit(r.v) for r in found if r.side == side)) if any(r.side == side for r in found) else F.array().cast("array<int>") for side in (0, 1)]
+    return listed[0], listed[1]
 
 
 def crossing_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_box: str, right_box: str) -> DataFrame:
@@ -46,7 +48,8 @@ def crossing_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_box:
     other columns of the two sides must have different names.
     """
     a, b = left.where(F.col(left_box).isNotNull()), right.where(F.col(right_box).isNotNull())
-    a, b = _dealt(a, keys, left_box, _levels(b, right_box)), _dealt(b, keys, right_box, _levels(a, left_box))
+    in_left, in_right = _levels(a, b, left_box, right_box)
+    a, b = _dealt(a, keys, left_box, in_right), _dealt(b, keys, right_box, in_left)
     b = b.withColumnRenamed("_home", "_home_right")
     x, y = F.col(left_box), F.col(right_box)
     met = a.join(b, [*keys, "_level", "_x", "_y"]).where((F.col("_home") | F.col("_home_right")) & G.intersects(x, y))

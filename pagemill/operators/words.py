@@ -44,13 +44,12 @@ def words_of_pages(pages: DataFrame, step: float = BASELINE_STEP, gap: float = G
     spans = pages.withColumn("_a", F.filter(starts, lambda i: i.isNotNull())).withColumn("_z", F.filter(ends, lambda i: i.isNotNull()))
 
     def word(a: Column, z: Column) -> Column:
-        own = F.slice(letters, a + 1, z - a + 1)
-        side = lambda name, pick: pick(F.transform(own, lambda x: x[name]))
-        box = G.rect(side("l", F.array_min), side("b", F.array_min), side("r", F.array_max), side("t", F.array_max))
-        return F.struct(at(a)["line_no"].alias("line_no"), at(a)["col"].alias("first_col"), F.array_join(F.transform(own, lambda x: x["value"]), "").alias("text"), box.alias("box"))
+        return F.slice(letters, a + 1, z - a + 1)
 
     found = spans.select("doc_id", "page_no", F.posexplode(F.zip_with("_a", "_z", word)).alias("word_no", "w"))
-    return found.select("doc_id", "page_no", (F.col("word_no") + 1).cast("long").alias("word_no"), "w.line_no", "w.first_col", "w.text", "w.box")
+    box = G.rect(F.array_min("w.l"), F.array_min("w.b"), F.array_max("w.r"), F.array_max("w.t"))
+    first = F.get("w", F.lit(0))
+    return found.select("doc_id", "page_no", (F.col("word_no") + 1).cast("long").alias("word_no"), first["line_no"].alias("line_no"), first["col"].alias("first_col"), F.array_join("w.value", "").alias("text"), box.alias("box"))
 
 
 def line_words(lines: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pagemill.functions import text as T
 from pagemill.operators import audit
 from pagemill.operators.words import line_words
 from pagemill.plans.registry import register
-from pagemill.session import table
+from pagemill.session import spread, table
 from pagemill.sources import layout
 
 #: Extracted text of a document: every third line is lost and x stands for e in documents whose id divides by 5; no expectation where it divides by 7.
@@ -25,7 +25,7 @@ tiered AS (SELECT doc_id, coverage, similarity, CASE WHEN expected IS NULL THEN
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text is not null")
+    docs = spread(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "lang", "source", "text"))
     rest = F.col("doc_id") % 5
     third = F.substring("text", F.lit(1), F.floor(F.length("text") / 3).cast("int"))
     extracted = F.when(rest == 0, F.replace("text", F.lit("e"), F.lit(""))).when(rest == 1, third).otherwise(F.col("text"))

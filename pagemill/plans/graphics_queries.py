@@ -57,12 +57,12 @@ def hidden_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("c16_safety_report", f"""WITH RECURSIVE {_SCAN}, bodies AS (SELECT page_id AS doc_id, regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), 'e', '', 'g') AS text, len(regexp_extract_all(html, '<meta')) AS info, contains(html, 'lang=') AS xmp, len(regexp_extract_all(html, '<script')) AS embedded FROM pages),
-asked AS (SELECT page_id AS doc_id, CASE WHEN op_idx % 7 = 0 THEN 2 ELSE 1 END AS page_no, l, b, r, t, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS term FROM found WHERE kind = 'text' AND length(text) <= 12),
+asked AS (SELECT page_id AS doc_id, CASE WHEN op_idx % 7 = 0 THEN 2 ELSE 1 END AS page_no, l, b, r, t, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS term FROM found WHERE kind = 'text' AND length(text) <= 12),
 areas AS (SELECT doc_id, count(*) AS n_areas, count(*) FILTER (WHERE page_no = 2) AS skipped, list_filter(list_distinct(list(term)), lambda x: x <> '') AS terms FROM asked GROUP BY 1),
 hid AS (SELECT page_id AS doc_id, count(DISTINCT op_idx) AS n FROM (SELECT x.page_id, x.op_idx FROM found x JOIN found c ON c.page_id = x.page_id AND x.kind = 'text' AND c.kind <> 'text' AND c.op_idx > x.op_idx
   WHERE greatest(least(x.r, c.r) - greatest(x.l, c.l), 0) * greatest(least(x.t, c.t) - greatest(x.b, c.b), 0) / greatest((x.r - x.l) * (x.t - x.b), 1e-6) >= 0.5) GROUP BY 1),
 img AS (SELECT a.doc_id, count(*) AS n FROM asked a JOIN found f ON f.page_id = a.doc_id AND f.kind = 'image' AND a.page_no = 1 AND a.l < f.r AND a.r > f.l AND a.b < f.t AND a.t > f.b GROUP BY 1),
-s AS (SELECT d.doc_id, coalesce(n_areas, 0) AS n_areas, coalesce(skipped, 0) AS skipped, coalesce(terms, []) AS terms, trim(regexp_replace(lower(d.text), '\s+', ' ', 'g')) AS text, info, xmp, embedded, coalesce(hid.n, 0) AS hidden, coalesce(img.n, 0) AS images FROM bodies d LEFT JOIN areas USING (doc_id) LEFT JOIN hid USING (doc_id) LEFT JOIN img USING (doc_id)),
+s AS (SELECT d.doc_id, coalesce(n_areas, 0) AS n_areas, coalesce(skipped, 0) AS skipped, coalesce(terms, []) AS terms, trim(regexp_replace(lower(d.text), '\\s+', ' ', 'g')) AS text, info, xmp, embedded, coalesce(hid.n, 0) AS hidden, coalesce(img.n, 0) AS images FROM bodies d LEFT JOIN areas USING (doc_id) LEFT JOIN hid USING (doc_id) LEFT JOIN img USING (doc_id)),
 k AS (SELECT *, len(list_filter(terms, lambda x: length(x) >= 3)) AS checked, len(list_filter(terms, lambda x: length(x) >= 3 AND contains(text, x))) AS remaining FROM s)
 SELECT doc_id, n_areas, skipped AS n_areas_skipped, len(terms) AS n_previews, checked AS n_previews_checked, remaining AS n_previews_left, len(terms) - checked AS n_previews_short, CASE WHEN checked = 0 THEN 'NotChecked' WHEN remaining > 0 THEN 'Warning' ELSE 'Verified' END AS content_status,
   CASE WHEN hidden > 0 THEN 'Warning' ELSE 'Verified' END AS hidden_text_status, CASE WHEN n_areas = 0 THEN 'NotChecked' WHEN images > 0 THEN 'Warning' ELSE 'Verified' END AS image_status, true AS metadata_scrubbed, info AS info_fields_scrubbed, xmp AS had_xmp, true AS attachments_scrubbed, embedded AS n_embedded_before,

@@ -25,6 +25,16 @@ def build_session(master: str = "local[*]", shuffle_partitions: int | None = Non
     return builder.getOrCreate()
 
 
+#: Inputs below this size are dealt out over all cores before texts are taken apart.
+SMALL_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input, which as one file with one row group is one task, over all cores; a larger one, which has splits enough, as it is."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Table `name` of a folder; only Spark's reader touches the path, so any store that Spark reads will do."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.geometry import rect
+from pagemill.session import spread
 
 LINES_PER_PAGE = 60
 
 
 def text_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, page_no, line_no, row, text): every line of every document; a null text has none."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
+    lines = spread(docs.select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
     return lines.select("doc_id", (F.floor(F.col("line_no") / LINES_PER_PAGE) + 1).cast("int").alias("page_no"), "line_no", (F.col("line_no") % LINES_PER_PAGE).alias("row"), "text")
 
 
@@ -49,7 +50,7 @@ def page_letters(docs: DataFrame) -> DataFrame:
         values = lambda line: F.filter(F.split(line, ""), lambda v: v != "")
         return lambda p: F.flatten(F.transform(F.slice(lines, p * LINES_PER_PAGE + 1, F.lit(LINES_PER_PAGE)), lambda line, r: F.transform(values(line), letter(p * LINES_PER_PAGE + r, r))))
 
-    lined = docs.where("text is not null").select("doc_id", F.split("text", "\n", -1).alias("lines"))
+    lined = spread(docs.where("text is not null").select("doc_id", "text")).select("doc_id", F.split("text", "\n", -1).alias("lines"))
     n = F.ceil(F.size("lines") / LINES_PER_PAGE).cast("int")
     made = F.transform(F.sequence(F.lit(0), n - 1), page(F.col("lines")))
     return lined.select("doc_id", F.posexplode(made).alias("page_no", "letters")).select("doc_id", (F.col("page_no") + 1).alias("page_no"), "letters")
