@@ -51,75 +51,81 @@ def test_contract_pages_and_precedence(spark, tmp_path):
     assert found["a/x.pdf", 2].quality_status == "GOOD_ENOUGH" and not found["y.pdf", 1].has_target
 
 
-@pytest.mark.parametrize(
-    "body, problem",
-    [
-        ({"Pages": {"1": {}}}, "no path"),
-        ({"Path": "a", "Pages": {}}, "no pages"),
-        ({"Path": "a", "Pages": {"3-2": {}}}, "page key 3-2"),
-        ({"Path": "a", "Pages": {"x": {}}}, "page key x"),
-        ({"Path": "a", "Pages": {"-1": {}}}, "page key -1"),
-        ({"Path": "a", "ReviewStatus": "MAYBE", "Pages": {"1": {}}}, "review_status MAYBE"),
-        ({"Path": "a", "Pages": {"1": {"ReleaseStatus": "pass"}}}, "release_status pass"),
-        ({"Path": "a", "Pages": {"1": {"Target": {"Mode": "GUESS"}}}}, "target_mode GUESS"),
-        ({"Path": "a", "Pages": {"1": {"ExpectedRawStatus": "PASS", "PixelAgreement": "MATCHES_NONE"}}}, "pixel_agreement against raw_status"),
-        ({"Path": "a", "Pages": {"1": {"QualityStatus": "FAIL", "ReleaseStatus": "PASS"}}}, "quality FAIL with release PASS"),
-        ({"Path": "a", "Pages": {"1": {"QualityStatus": "GOOD_ENOUGH", "PixelAgreement": "NOT_COMPARABLE"}}}, "pixel_agreement against quality_status"),
-        ({"Path": "a", "Pages": {"1-3": {}, "2": {}}}, "named twice"),
-    ],
-)
-def test_faults_stop_the_load(spark, tmp_path, body, problem):
-    folder = _contract(tmp_path, "c.json", body)
-    with pytest.raises(ValueError, match=problem):
+FAULTS = [
+    ({"Pages": {"1": {}}}, "no path"),
+    ({"Path": "a", "Pages": {}}, "no pages"),
+    ({"Path": "a", "Pages": {"3-2": {}}}, "page key 3-2"),
+    ({"Path": "a", "Pages": {"x": {}}}, "page key x"),
+    ({"Path": "a", "Pages": {"-1": {}}}, "page key -1"),
+    ({"Path": "a", "ReviewStatus": "MAYBE", "Pages": {"1": {}}}, "review_status MAYBE"),
+    ({"Path": "a", "Pages": {"1": {"ReleaseStatus": "pass"}}}, "release_status pass"),
+    ({"Path": "a", "Pages": {"1": {"Target": {"Mode": "GUESS"}}}}, "target_mode GUESS"),
+    ({"Path": "a", "Pages": {"1": {"ExpectedRawStatus": "PASS", "PixelAgreement": "MATCHES_NONE"}}}, "pixel_agreement against raw_status"),
+    ({"Path": "a", "Pages": {"1": {"QualityStatus": "FAIL", "ReleaseStatus": "PASS"}}}, "quality FAIL with release PASS"),
+    ({"Path": "a", "Pages": {"1": {"QualityStatus": "GOOD_ENOUGH", "PixelAgreement": "NOT_COMPARABLE"}}}, "pixel_agreement against quality_status"),
+    ({"Path": "a", "Pages": {"1-3": {}, "2": {}}}, "named twice"),
+]
+
+
+def test_faults(spark, tmp_path):
+    for i, (body, _) in enumerate(FAULTS):
+        folder = _contract(tmp_path, f"c{i}.json", body | ({"Path": f"a{i}"} if "Path" in body else {}))
+    found = {}
+    for r in contracts.problems(contracts.read_contract_pages(spark, folder)).collect():
+        found.setdefault(int(r.file.rpartition("/c")[2].removesuffix(".json")), set()).add(r.problem)
+    assert found == {i: {problem} for i, (_, problem) in enumerate(FAULTS)}
+    with pytest.raises(ValueError, match="no path"):
         contracts.load_contracts(spark, folder)
 
 
 ENTRY = "path string, page_no int, status string, result string, result_category string, result_reason string, expected_note string, compared int, agreeing int, pairs int, disagreeing int, rank int, best string"
 
 
-def _judged(spark, tmp_path, page, status, strict=False, shared=None, agreeing=2, compared=3, rank=1, pairs=3, disagreeing=1, best="r1"):
-    folder = _contract(tmp_path, "c.json", {"Path": "a", **(shared or {}), "Pages": {"1": page}} if page is not None else {"Path": "other", "Pages": {"1": {}}})
-    entries = spark.createDataFrame([("a", 1, status, "PASS", None, None, "note", compared, agreeing, pairs, disagreeing, rank, best)], ENTRY)
-    return quality.with_contracts(entries, contracts.load_contracts(spark, folder), strict).first()
+def _judged(spark, tmp_path, cases, strict=False):
+    """Each case (page or None, document, status, numbers) as an entry of its own path, under one set of contracts."""
+    rows = []
+    for i, (page, shared, status, extra) in enumerate(cases):
+        folder = _contract(tmp_path, f"c{i}.json", {"Path": f"p{i}", **(shared or {}), "Pages": {"1": page}} if page is not None else {"Path": f"other{i}", "Pages": {"1": {}}})
+        n = {"compared": 3, "agreeing": 2, "pairs": 3, "disagreeing": 1, "rank": 1} | extra
+        rows.append((f"p{i}", 1, status, "PASS", None, None, "note", n["compared"], n["agreeing"], n["pairs"], n["disagreeing"], n["rank"], "r1"))
+    found = quality.with_contracts(spark.createDataFrame(rows, ENTRY), contracts.load_contracts(spark, folder), strict)
+    return [r for _, r in sorted((int(r.path[1:]), r) for r in found.collect())]
 
 
-@pytest.mark.parametrize(
-    "page, status, proposed, expected",
-    [({"PixelAgreement": "MATCHES_SOME"}, "PASS", None, "MATCHES_ALL_REQUIRED"), ({"PixelAgreement": "MATCHES_SOME"}, "DIFF", None, "MATCHES_NONE"), ({"PixelAgreement": "NOT_COMPARABLE"}, "DIFF", None, "NOT_COMPARABLE"), ({"PixelAgreement": "MATCHES_NONE"}, "PASS_ONE", None, "MATCHES_SOME"), ({}, "TIMEOUT", None, "NOT_COMPARABLE")],
-)
-def test_raw_status_overrules_a_contract(spark, tmp_path, page, status, proposed, expected):
-    assert _judged(spark, tmp_path, page, status).pixel_agreement == expected
+OVERRULED = [({"PixelAgreement": "MATCHES_SOME"}, "PASS", "MATCHES_ALL_REQUIRED"), ({"PixelAgreement": "MATCHES_SOME"}, "DIFF", "MATCHES_NONE"), ({"PixelAgreement": "NOT_COMPARABLE"}, "DIFF", "NOT_COMPARABLE"), ({"PixelAgreement": "MATCHES_NONE"}, "PASS_ONE", "MATCHES_SOME"), ({}, "TIMEOUT", "NOT_COMPARABLE")]
 
 
-TOLD = {"Target": {"Mode": "PDF_SPEC", "Primary": "r1"}, "QualityReason": "looked at"}
+def test_raw_status_overrules_a_contract(spark, tmp_path):
+    found = _judged(spark, tmp_path, [(page, None, status, {}) for page, status, _ in OVERRULED])
+    assert [r.pixel_agreement for r in found] == [expected for _, _, expected in OVERRULED]
 
 
-@pytest.mark.parametrize(
-    "page, shared, extra, review, release",
-    [
-        ({}, TOLD, {}, "accepted", "PASS"),
-        ({"ReleaseStatus": "BLOCKED"}, TOLD, {}, "rejected", "BLOCKED"),
-        ({"QualityStatus": "FAIL"}, TOLD, {}, "rejected", "PASS"),
-        (None, None, {}, "unreviewed", "NEEDS_REVIEW"),
-        ({"ReviewStatus": "REVIEWED"}, {"ReviewStatus": "GENERATED"}, {}, "accepted", "PASS"),
-        ({}, {**TOLD, "ReviewStatus": "GENERATED"}, {}, "unreviewed", "NEEDS_REVIEW"),
-        ({}, {**TOLD, "RootCause": "FULL_CORPUS_BASELINE"}, {}, "unreviewed", "NEEDS_REVIEW"),
-        ({"Notes": "Auto-Classified"}, TOLD, {}, "unreviewed", "NEEDS_REVIEW"),
-        ({}, {"QualityReason": "no target"}, {}, "unreviewed", "NEEDS_REVIEW"),
-        ({}, {"Target": {"Mode": "PDF_SPEC"}}, {}, "unreviewed", "NEEDS_REVIEW"),
-        ({}, TOLD, {"agreeing": 1, "disagreeing": 0}, "unreviewed", "NEEDS_REVIEW"),
-        ({}, TOLD, {"agreeing": 1, "rank": 3}, "unreviewed", "NEEDS_REVIEW"),
-        ({}, TOLD, {"agreeing": 1, "rank": 3, "compared": 2}, "accepted", "PASS"),
-    ],
-)
-def test_pages_that_match_one_renderer(spark, tmp_path, page, shared, extra, review, release):
-    found = _judged(spark, tmp_path, page, "PASS_ONE", shared=shared, **extra)
-    assert (found.pass_one_review, found.release_status) == (review, release)
-    assert (found.quality_status == "NEEDS_REVIEW") == (review == "unreviewed")
+TOLD = {"Target": {"Mode": "PDF_SPEC", "Primary": "r1"}, "QualityReason": "looked at"}
+REVIEWS = [
+    ({}, TOLD, {}, "accepted", "PASS"),
+    ({"ReleaseStatus": "BLOCKED"}, TOLD, {}, "rejected", "BLOCKED"),
+    ({"QualityStatus": "FAIL"}, TOLD, {}, "rejected", "PASS"),
+    (None, None, {}, "unreviewed", "NEEDS_REVIEW"),
+    ({"ReviewStatus": "REVIEWED"}, {"ReviewStatus": "GENERATED"}, {}, "accepted", "PASS"),
+    ({}, {**TOLD, "ReviewStatus": "GENERATED"}, {}, "unreviewed", "NEEDS_REVIEW"),
+    ({}, {**TOLD, "RootCause": "FULL_CORPUS_BASELINE"}, {}, "unreviewed", "NEEDS_REVIEW"),
+    ({"Notes": "Auto-Classified"}, TOLD, {}, "unreviewed", "NEEDS_REVIEW"),
+    ({}, {"QualityReason": "no target"}, {}, "unreviewed", "NEEDS_REVIEW"),
+    ({}, {"Target": {"Mode": "PDF_SPEC"}}, {}, "unreviewed", "NEEDS_REVIEW"),
+    ({}, TOLD, {"agreeing": 1, "disagreeing": 0}, "unreviewed", "NEEDS_REVIEW"),
+    ({}, TOLD, {"agreeing": 1, "rank": 3}, "unreviewed", "NEEDS_REVIEW"),
+    ({}, TOLD, {"agreeing": 1, "rank": 3, "compared": 2}, "accepted", "PASS"),
+]
+
+
+def test_pages_that_match_one_renderer(spark, tmp_path):
+    found = _judged(spark, tmp_path, [(page, shared, "PASS_ONE", extra) for page, shared, extra, _, _ in REVIEWS])
+    assert [(r.pass_one_review, r.release_status) for r in found] == [case[3:] for case in REVIEWS]
+    assert [r.quality_status == "NEEDS_REVIEW" for r in found] == [case[3] == "unreviewed" for case in REVIEWS]
 
 
 def test_strict_and_summary(spark, tmp_path):
-    found = _judged(spark, tmp_path, None, "PASS", strict=True)
+    (found,) = _judged(spark, tmp_path, [(None, None, "PASS", {})], strict=True)
     assert (found.release_status, found.quality_status, found.contract_status, found.quality_reason) == ("NEEDS_REVIEW", "NEEDS_REVIEW", "MISSING", "No contract covers this page.")
     frame = spark.createDataFrame([found.asDict()], "path string, status string, release_status string, quality_status string, pixel_agreement string, reference_situation string, target_basis string, root_cause string, priority string, confidence string, pass_one_review string, contract_status string")
     counts = {(r.field, r.value): r.n for r in quality.summary(frame).collect()}

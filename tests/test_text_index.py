@@ -33,13 +33,18 @@ def _found(index, term, ignore_case=True):
     return sorted(map(tuple, index.substrings(term, ignore_case).collect()))
 
 
-TERMS = ["the", "The", "at", "e  c", "the cat", "t s", " the", "the ", "end. \tt", "fi", "café", "fine c", "cafe", "a a", "aa", "a a a", "n", ". ", "  the", "nowhere"]
+TERMS = ["the", "at", "e  c", "the cat", "t s", " the", "the ", "end. \tt", "café", "fine c", "a a", "aa"]
 
 
 @pytest.mark.parametrize("ignore_case", [True, False])
-@pytest.mark.parametrize("term", TERMS)
-def test_substrings_equal_the_live_search(spark, index, term, ignore_case):
-    assert _found(index, term, ignore_case) == _live(spark, FIRST, term, ignore_case)
+def test_substrings_equal_the_live_search(spark, index, ignore_case):
+    lines = text_lines(spark.createDataFrame([r for r in FIRST if r[0] is not None], "doc_id long, text string")).select("doc_id", "line_no", "text").cache()
+    live = found = None
+    for term in TERMS:
+        one = search.substring_matches(lines, term, ignore_case).select(F.lit(term).alias("term"), "doc_id", "line_no", "start", "length")
+        two = index.substrings(term, ignore_case).select(F.lit(term).alias("term"), "doc_id", "line_no", "start", "length")
+        live, found = (one, two) if live is None else (live.unionByName(one), found.unionByName(two))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, live.collect()))
 
 
 def test_whole_words_and_frequencies(index):
