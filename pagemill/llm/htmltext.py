@@ -98,11 +98,10 @@ def equivalence_classes(vectors: DataFrame, min_pages: int, min_share: float, mi
 def _with_host_table(pages: DataFrame, table: DataFrame, limit_bytes: int, row_bytes: Column, salts: int = 64) -> DataFrame:
     """pages with the row of their host, broadcast where all rows together are small; else dealt out by host and one of `salts`
     parts of its pages, so that no task gets a host whole."""
-    spark = pages.sparkSession
     size = table.agg(F.coalesce(F.sum(row_bytes), F.lit(0)).alias("n")).first().n
     if size <= limit_bytes:
         return pages.join(F.broadcast(table), "host", "left")
-    parts = table.crossJoin(F.broadcast(spark.range(salts).select(F.col("id").cast("int").alias("part"))))
+    parts = table.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return pages.withColumn("part", F.pmod(F.col("row"), F.lit(salts)).cast("int")).join(parts, ["host", "part"], "left").drop("part")
 
 
