@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.operators.ranges import running
@@ -30,9 +30,12 @@ def _finished(spark: SparkSession, sf_dir: str) -> sinks.ReportSink:
 def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as the finished CSV and JSON reports hold it."""
     sink = _finished(spark, sf_dir)
-    csv = spark.read.option("header", True).option("escape", '"').schema(_ENTRY).csv(f"{sink.path}/pages.csv/*")
-    parsed = spark.read.schema(_ENTRY).json(f"{sink.path}/report.json").select("event_id", F.round("value", 6).alias("json_value"))
-    return csv.join(parsed, "event_id").select("event_id", "user_id", "event_type", "value", "json_value")
+    # Events of one id, or of none, are told apart by what else they hold, and equal ones by their place among those.
+    same = ["event_id", "user_id", "event_type"]
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy("value")).alias("nth")
+    csv = sink.csv_entries().select("*", nth)
+    parsed = spark.read.schema(_ENTRY).json(f"{sink.path}/report.json").select(*same, F.round("value", 6).alias("json_value"), nth)
+    return csv.join(parsed, [csv[c].eqNullSafe(parsed[c]) for c in (*same, "nth")]).select(*(csv[c] for c in same), "value", "json_value")
 
 
 @register("s15_progress_snapshot", "SELECT event_type AS status, count(*) AS n, (SELECT count(*) FROM events) AS processed, true AS completed FROM events GROUP BY 1")

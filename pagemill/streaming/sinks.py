@@ -129,6 +129,12 @@ class ReportSink:
             return empty
         return self.spark.read.schema(empty.schema).parquet(f"{self.path}/counts").groupBy(self.status).agg(F.sum("n").alias("n"))
 
+    def csv_entries(self) -> DataFrame:
+        """The entries as the finished CSV report holds them. Its parts are one file cut in pieces, so that only the first begins with the header; a quoted cell may hold line ends or nothing."""
+        first = F.col("_metadata.file_name").startswith("part-00000")
+        read = lambda header: self.spark.read.schema(self.schema).csv(f"{self.path}/pages.csv", header=header, escape='"', multiLine=True, nullValue="\0")
+        return read(True).where(first).unionByName(read(False).where(~first))
+
     def snapshot(self, completed: bool = False) -> None:
         """progress.json: how many entries there are, by status, and whether more may come. It has a number for each status and nothing else."""
         found = {r[self.status]: r.n for r in self.counts().collect()}

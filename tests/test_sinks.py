@@ -4,9 +4,11 @@ import json
 import os
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
+from pagemill.plans import sink_queries
 from pagemill.streaming import sinks
 
 ENTRY = "path string, page int, status string, ms double"
@@ -78,6 +80,22 @@ def test_an_empty_report(spark, sink):
     assert _lines(f"{folder}/pages.csv") == ["path,page,status,ms"] and _lines(f"{folder}/report.json") == [] and _progress(sink)["processed"] == 0
 
 
+def test_csv_of_several_parts_is_read_whole(spark, tmp_path, sink, monkeypatch):
+    rows = [(f"p{i:03}", i, None if i % 7 == 0 else 'say "a", b\nc' if i % 5 == 0 else "", i / 4) for i in range(200)]
+    sink.add(spark.createDataFrame(rows, ENTRY), 0)
+    monkeypatch.setattr(sinks, "_in_order", lambda rows, order: rows.repartitionByRange(5, *order).sortWithinPartitions(*order))
+    sink.finish("Parts")
+    assert sum(x.startswith("part-") for x in os.listdir(f"{sink.path.removeprefix('file://')}/pages.csv")) > 1
+    assert sorted(map(tuple, sink.csv_entries().collect())) == rows
+
+
+def test_report_files_give_every_event(spark, tmp_path):
+    events = [(None, 1, "view", 1.5), (None, 2, "view", None), (7, 1, "view", 2.0), (7, 1, "view", 1.0), (7, 1, "view", 1.0), (8, None, None, 3.25)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    found = sink_queries.report_files(spark, f"file://{tmp_path}").collect()
+    assert sorted(map(str, found)) == sorted(str(Row(event_id=a, user_id=b, event_type=c, value=d, json_value=d)) for a, b, c, d in events)
+
+
 def test_a_taken_name_is_not_written_again(spark, sink):
     folder = sinks.Folder(spark, sink.path)
     for n, expected in ((1, True), (2, False)):
