@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Reach of a line from its first letter, gap that becomes a space, and strong right-to-left letters.
@@ -40,6 +40,13 @@ def area_text(letters: DataFrame, reach: float = LINE_REACH, gap: float = SPACE_
     return flat.groupBy("doc_id", "page_no").applyInPandas(run, "doc_id long, page_no int, text string")
 
 
+def rtl_moved(text: Column) -> Column:
+    """How many letters of a text change their place when the runs of rtl_runs_reversed turn round, its lines being drawn from left to right. A run of an odd
+    number of letters keeps the one in its middle."""
+    run = rf"{RTL}(?:[{RTL}[^\p{{L}}\n]]*{RTL})?"
+    return F.aggregate(F.regexp_extract_all(text, F.lit(run), F.lit(0)), F.lit(0).cast("long"), lambda s, x: s + F.length(x) - F.length(x) % 2)
+
+
 def rtl_runs_reversed(letters: DataFrame) -> DataFrame:
     """letters with logical_col: runs of right-to-left letters in a line, with the neutrals between them, in reading order.
 
