@@ -5,8 +5,12 @@ A line of text is a line of the page, 60 lines a page; a letter is 5 wide and 10
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +60,57 @@ def page_letters(docs: DataFrame) -> DataFrame:
     return lined.select("doc_id", F.posexplode(made).alias("page_no", "letters")).select("doc_id", (F.col("page_no") + 1).alias("page_no"), "letters")
 
 
+def page_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, page_no, lines array<string>): a row for each page, with its lines; a null text has none."""
+    lined = spread(docs.where("text is not null").select("doc_id", "text")).select("doc_id", F.split("text", "\n", -1).alias("lines"))
+    numbered = lined.select("doc_id", "lines", F.explode(F.sequence(F.lit(1), F.ceil(F.size("lines") / LINES_PER_PAGE).cast("int"))).alias("page_no"))
+    return numbered.select("doc_id", "page_no", F.slice("lines", (F.col("page_no") - 1) * LINES_PER_PAGE + 1, F.lit(LINES_PER_PAGE)).alias("lines"))
+
+
+@dataclass(frozen=True)
+class PageLetters:
+    """The letters of some pages, one after another: code (code point), page (from 0), row and col of each, left and bottom of its place; of the pages first (letter, and one past the last)."""
+
+    code: np.ndarray
+    page: np.ndarray
+    row: np.ndarray
+    col: np.ndarray
+    left: np.ndarray
+    bottom: np.ndarray
+    first: np.ndarray
+
+    @property
+    def blank(self) -> np.ndarray:
+        """White space, as \\s has it."""
+        return (self.code == 32) | ((self.code >= 9) & (self.code <= 13))
+
+    def texts(self, order: np.ndarray, start: np.ndarray) -> pa.Array:
+        """The letters in an order as strings, each from one of the starts to the next."""
+        data = self.code[order].astype("<u4").tobytes()
+        ends = [*start[1:].tolist(), len(order)]
+        return pa.array([data[4 * a : 4 * z].decode("utf-32-le", "surrogatepass") for a, z in zip(start.tolist(), ends, strict=True)], pa.string())
+
+
+def page_letter_arrays(batch: pa.RecordBatch, limit: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, PageLetters]]:
+    """Rows of page_lines in pieces of about `limit` letters, each with its letters where the layout puts them."""
+    sizes = pc.fill_null(pc.list_value_length(batch.column("lines")), 0).to_numpy().astype(np.int64)
+    lines = batch.column("lines").flatten().cast(pa.large_string()).fill_null("")
+    at = np.append(0, np.cumsum(sizes))
+    letters = np.append(0, np.cumsum(pc.utf8_length(lines).to_numpy()))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = min(max(int(np.searchsorted(letters[at], letters[at[lo]] + limit, "right")) - 1, lo + 1), batch.num_rows)
+        own = lines.slice(at[lo], at[hi] - at[lo])
+        n = np.diff(letters[at[lo] : at[hi] + 1])
+        code = np.frombuffer("".join(own.to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4")
+        page = np.repeat(np.arange(hi - lo), sizes[lo:hi])
+        row = np.arange(len(n)) - np.repeat(at[lo:hi] - at[lo], sizes[lo:hi])
+        line = np.repeat(np.arange(len(n)), n)
+        col = np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n)
+        yield batch.slice(lo, hi - lo), PageLetters(code, page[line], row[line], col, 72.0 + 6 * col, 720.0 - 12 * row[line], letters[at[lo : hi + 1]] - letters[at[lo]])
+        lo = hi
+
+
 def line_letters(docs: DataFrame) -> DataFrame:
     """(doc_id, page_no, line_no, row, letters): the letters of each line as an array of (value, box), place i in column i."""
     values = F.filter(F.split("text", ""), lambda v: v != "")
