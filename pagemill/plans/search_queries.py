@@ -122,7 +122,7 @@ def term_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, page_no, CAST(count(DISTINCT word_no) AS BIGINT) AS n_words, CAST(count(*) AS BIGINT) AS n_letters, CAST(sum(word_no * (col + 1)) AS BIGINT) AS checksum FROM numbered WHERE NOT space GROUP BY doc_id, page_no""")
 def word_building(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every page, built from letters by gaps."""
-    found = words.words_of_pages(layout.page_letters(_docs(spark, sf_dir)))
+    found = words.words_on_lines(layout.page_lines(_docs(spark, sf_dir)))
     n = F.length("text").cast("long")
     first = F.col("first_col").cast("long") + 1
     places = F.col("word_no") * (n * first + n * (n - 1) / 2)

@@ -79,6 +79,10 @@ class PageLetters:
     bottom: np.ndarray
     first: np.ndarray
 
+    @property
+    def right(self) -> np.ndarray:
+        return self.left + 5
+
     @property
     def blank(self) -> np.ndarray:
         """White space, as \\s has it."""
@@ -86,9 +90,11 @@ class PageLetters:
 
     def texts(self, order: np.ndarray, start: np.ndarray) -> pa.Array:
         """The letters in an order as strings, each from one of the starts to the next."""
-        data = self.code[order].astype("<u4").tobytes()
-        ends = [*start[1:].tolist(), len(order)]
-        return pa.array([data[4 * a : 4 * z].decode("utf-32-le", "surrogatepass") for a, z in zip(start.tolist(), ends, strict=True)], pa.string())
+        code = self.code[order]
+        width = 1 + (code >= 0x80).astype(np.int32) + (code >= 0x800) + (code >= 0x10000)
+        ends = np.append(np.int32(0), np.cumsum(width, dtype=np.int32))
+        data = code.tobytes().decode("utf-32-le").encode()
+        return pa.StringArray.from_buffers(len(start), pa.py_buffer(ends[np.append(start, len(code))]), pa.py_buffer(data))
 
 
 def page_letter_arrays(batch: pa.RecordBatch, limit: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, PageLetters]]:

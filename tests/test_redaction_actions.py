@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import geometry as G
 from pagemill.operators import content, graphics, redact, redaction, safety, words
+from pagemill.plans import search_queries
 from pagemill.sources import layout
 
 from .test_graphics import UNIT, ops
@@ -22,6 +23,16 @@ def test_words_of_pages_equal_words_from_letters(docs):
     assert sorted(found) == sorted(words.words_from_letters(layout.letters(docs)).select(*columns).collect()) and len(found) > 600
 
 
+def test_words_on_lines_equal_words_from_letters(docs, spark, tmp_path):
+    columns = ["doc_id", "page_no", "word_no", "line_no", "first_col", "text"]
+    docs = docs.unionByName(spark.createDataFrame([(8, "é𐤀 \u00a0x\n\x0b𐤀𐤀 ﬁ\n" * 70)], docs.schema))
+    found = words.words_on_lines(layout.page_lines(docs)).select(*columns).collect()
+    assert sorted(found) == sorted(words.words_from_letters(layout.letters(docs)).select(*columns).collect()) and len(found) > 900
+    docs.select("*", F.lit("en").alias("lang"), F.lit("web").alias("source")).write.parquet(f"{tmp_path}/documents.parquet")
+    plan = search_queries.word_building(spark, f"file://{tmp_path}")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "rlike" not in plan.lower()
+
+
 def test_words_of_pages_by_geometry(spark):
     rows = [(1, 1, [(0, i, v, l, b, l + 5, b + 10) for i, (v, l, b) in enumerate([("a", 0.0, 0.0), ("b", 6.0, 0.0), ("c", 20.0, 0.0), (" ", 26.0, 0.0), ("d", 32.0, 0.0), ("e", 38.0, 4.0), ("f", 44.0, 12.0)])]), (2, 1, [])]
     pages = spark.createDataFrame(rows, "doc_id long, page_no int, letters array<struct<line_no:int,col:int,value:string,l:double,b:double,r:double,t:double>>")
