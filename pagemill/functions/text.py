@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -38,6 +39,7 @@ def fold_text(text: str) -> str:
 
 #: Characters that folding may change, as a class: all but ASCII and the letters of the Latin blocks, which are composed already.
 MAY_FOLD = "[^\\x00-\\u009F\\u00A1-\\u00AC\\u00AE-\\u024F]"
+_MAY_FOLD = re.compile(MAY_FOLD)
 
 
 def fold(text: Column) -> Column:
@@ -114,6 +116,25 @@ def match_ranges(text: Column, form: Column, terms: list[str], ignore_case: bool
     return F.array_sort(found)
 
 
+def ranges_in(text: str, terms: list[str], ignore_case: bool) -> list[tuple[int, int]]:
+    """match_ranges of one string."""
+    plain = lambda s: s.translate({ord(c): "'" for c in QUOTES} | {ord(c): "-" for c in DASHES})
+    folded, at = text, None
+    if _MAY_FOLD.search(text):
+        forms = fold_letters(list(text))
+        folded, at = "".join(forms), [i + 1 for i, form in enumerate(forms) for _ in form]
+    haystack = plain(folded).lower() if ignore_case else plain(folded)
+    place = lambda k: k if at is None else at[k - 1] if k <= len(at) else len(text) + 1
+    found = []
+    for term in dict.fromkeys(map(fold_text, terms)):
+        needle = plain(term).lower() if ignore_case else plain(term)
+        k = haystack.find(needle) if needle else -1
+        while k >= 0:
+            found.append((place(k + 1), max(place(k + 1 + len(needle)), place(k + len(needle)) + 1)))
+            k = haystack.find(needle, k + 1)
+    return sorted(found)
+
+
 def redaction_form(text: Column) -> Column:
     """Folded, quotes and dashes unified, trimmed, white space collapsed."""
     plain = F.translate(F.translate(fold(text), QUOTES, "'" * len(QUOTES)), DASHES, "-" * len(DASHES))

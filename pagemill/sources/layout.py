@@ -83,6 +83,13 @@ class PageLetters:
     def right(self) -> np.ndarray:
         return self.left + 5
 
+    @property
+    def top(self) -> np.ndarray:
+        return self.bottom + 10
+
+    def text(self, page: int) -> str:
+        return self.code[self.first[page] : self.first[page + 1]].tobytes().decode("utf-32-le")
+
     @property
     def blank(self) -> np.ndarray:
         """White space, as \\s has it."""

@@ -1,12 +1,15 @@
 """Lists of redaction actions, stripped fills, the safety report, arrays of letters against rows of letters."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions import geometry as G
-from pagemill.operators import content, graphics, redact, redaction, safety, words
+from pagemill.operators import content, graphics, redact, redaction, safety, spatial, words
 from pagemill.plans import search_queries
 from pagemill.sources import layout
+from pagemill.storage import stored
 
 from .test_graphics import UNIT, ops
 
@@ -63,6 +66,34 @@ def test_actions_in_order(docs):
     assert [tuple(x.box)[:3:2] for x in rows if x.name == "re"] == [(72.0, 80.0), (72.0, 89.0), (96.0, 113.0), (84.0, 89.0)]
 
 
+def test_marks_on_lines_equal_those_on_letters(docs, spark):
+    more = spark.createDataFrame([(8, "of\u0301ﬁce “tion” ti\ntion \u200btion e\u0301\ntiontion" * 3), (9, "\n" * 70 + "tion Z𐤀Z")], docs.schema)
+    docs = docs.unionByName(more)
+    wanted = redaction.Redaction().area(72.0, 719.0, 80.0, 731.0).text("tion").letters(lambda x: (x["value"] == "Z") | (x["value"] == "𐤀") & (x["l"] > 80) & (x["line_no"] > 60)).text('"tion"').category("TextObject").text("line").text("ice")
+    found, plain = (sorted(map(tuple, m.collect())) for m in (wanted.marks_on_lines(layout.page_lines(docs)), wanted.marks(layout.page_letters(docs))))
+    assert len(found) > 150 and found == plain
+
+
+def test_first_crossing_equals_pairs(spark):
+    rng = random.Random(3)
+    box = lambda: (x := rng.randint(0, 60), y := rng.randint(0, 60), x + rng.choice([0, 2, 40]), y + rng.choice([0, 3, 9]))
+    kind = "box struct<l:double,b:double,r:double,t:double>"
+    rows = lambda n, own: [(d, 1, own(i), tuple(map(float, box())) if i % 9 else None) for d in range(4) for i in range(n)]
+    given = spark.createDataFrame(rows(60, lambda i: i), f"doc_id long, page_no int, op_idx int, {kind}")
+    marks = spark.createDataFrame(rows(25, lambda i: i % 3), f"doc_id long, page_no int, action int, {kind}").withColumnRenamed("box", "mark")
+    found = redaction._first_crossing(given, marks).collect()
+    pairs = spatial.crossing_pairs(given, marks, redaction.KEYS, "box", "mark").groupBy("doc_id", "page_no", "op_idx").agg(F.min("action").alias("action")).collect()
+    assert len(found) > 50 and sorted(map(tuple, found)) == sorted(map(tuple, pairs))
+
+
+def test_letters_are_taken_apart_once(docs, monkeypatch):
+    """The marks are joined, counted and painted: they are stored, not made anew each time."""
+    calls = []
+    monkeypatch.setattr(redaction, "stored", lambda df: calls.append(df) or stored(df))
+    left, counts = redaction.Redaction().text("abc").apply(content.layout_operators(docs), layout.page_lines(docs))
+    assert len(calls) >= 1 and all("MapInArrow" not in d._jdf.queryExecution().executedPlan().toString() for d in (left, counts))
+
+
 def test_a_match_over_two_lines_and_ligatures(docs):
     left, counts = _applied(docs.where("doc_id in (1, 2)"), redaction.Redaction().text("cab").text("office").without_markers())
     assert counts[2, 1].text_occurrences == 1 and counts[2, 1].operators_removed == 2 and counts[1, 1].text_occurrences == 1
