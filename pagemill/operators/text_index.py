@@ -5,13 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
 from pagemill.operators.search import regex_matches
-from pagemill.sources.layout import text_lines
+from pagemill.session import spread
+from pagemill.storage import stored
 
 _WORD = re.compile(r"\S+", re.ASCII)
 _CHANGES = re.compile(T.MAY_FOLD)
@@ -21,31 +23,45 @@ _KNOWN = "doc_id long, n_lines int, live boolean, batch int"
 PAIR = ["doc_id", "line_no"]
 
 
-def _tokens(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, word_no, word, start, before, after, at) of the words of lines in matching form, in one pass over each line.
+def _postings(docs: DataFrame, most: int = 200_000) -> DataFrame:
+    """(word, doc_id, places) of the words of docs (doc_id, text), a row for each document, in matching form: a document's places of a word are put together where its text is, in pieces of
+    about `most` places, so that no row for a place is ever shuffled.
 
-    start is the word's place in the matching form; at, where folding moves letters, holds for each of its characters and the one after it the place in the text as it
+    start is the word's place in the matching form of its line; at, where folding moves letters, holds for each of its characters and the one after it the place in the text as it
     is. before and after are the blanks around the word.
     """
+    names = ["line_no", "word_no", "start", "before", "after", "at"]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int32())]
+
+    def together(held: dict[tuple[int, str], list[tuple]]) -> pa.RecordBatch:
+        ends = np.append(0, np.cumsum([len(found) for found in held.values()]))
+        columns = zip(*(place for found in held.values() for place in found), strict=True)
+        places = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+        words, ids = pa.array([w for _, w in held], pa.string()), pa.array([d for d, _ in held], pa.int64())
+        return pa.RecordBatch.from_arrays([words, ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), places)], names=["word", "doc_id", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, line, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "line_no", "text")), strict=True):
-                places = None
-                if _CHANGES.search(text):
-                    forms = T.fold_letters(list(text))
-                    places = [i + 1 for i, form in enumerate(forms) for _ in form] + [len(text) + 1]
-                    text = "".join(forms)
-                spans = [m.span() for m in _WORD.finditer(text)]
-                for k, (a, z) in enumerate(spans):
-                    left, right = spans[k - 1][1] if k else 0, spans[k + 1][0] if k + 1 < len(spans) else len(text)
-                    rows.append((doc, line, k, text[a:z], a + 1, text[left:a], text[z:right], places[a : z + 1] if places else None))
-            columns = list(zip(*rows, strict=True)) or [()] * 8
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "line_no", "word_no", "word", "start", "before", "after", "at"])
-
-    return lines.select("doc_id", "line_no", "text").mapInArrow(run, "doc_id long, line_no int, word_no int, word string, start int, before string, after string, at array<int>")
+            for doc, whole in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                for line, text in enumerate(whole.as_py().split("\n")):
+                    places = None
+                    if _CHANGES.search(text):
+                        forms = T.fold_letters(list(text))
+                        places = [i + 1 for i, form in enumerate(forms) for _ in form] + [len(text) + 1]
+                        text = "".join(forms)
+                    spans = [m.span() for m in _WORD.finditer(text)]
+                    for k, (a, z) in enumerate(spans):
+                        left, right = spans[k - 1][1] if k else 0, spans[k + 1][0] if k + 1 < len(spans) else len(text)
+                        held.setdefault((doc, text[a:z]), []).append((line, k, a + 1, text[left:a], text[z:right], places[a : z + 1] if places else None))
+                    size += len(spans)
+                if size >= most:
+                    yield together(held)
+                    held, size = {}, 0
+        if held:
+            yield together(held)
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"word string, doc_id long, places array<{_PLACE}>")
 
 
 def _bucket(key: Column, buckets: int) -> Column:
@@ -65,13 +81,16 @@ class TextIndex:
     def add(self, docs: DataFrame, batch: int) -> None:
         """Indexes docs (doc_id, text) as a batch with a number above those before. Null texts and ids are not indexed; rows of one id are one document,
         whose lines must not have the same number twice, so repeated ids in a batch are refused by their first text in order."""
-        given = docs.where("doc_id is not null and text is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("text").alias("text"))
-        words = _tokens(text_lines(given))
+        given = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        # Only texts of repeated ids are shuffled; as a rule there are none.
+        several = stored(given.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+        repeated = given.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+        given = given.join(several, "doc_id", "left_anti").unionByName(repeated)
         key = F.lower(T.trim_edges(F.col("word")))
-        place = F.struct("line_no", "word_no", "start", "before", "after", "at").cast(_PLACE)
-        postings = words.groupBy(key.alias("key"), "word", "doc_id").agg(F.array_sort(F.collect_list(place)).alias("places"))
+        postings = _postings(spread(given)).withColumn("key", key)
         postings = postings.select("key", "word", "doc_id", F.size("places").alias("n"), "places", _bucket(F.col("key"), self.buckets).alias("bucket"))
-        postings.repartition("bucket", F.pmod(F.xxhash64("key", "doc_id"), F.lit(4))).sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(f"{self.path}/postings/batch={batch}")
+        # Each task writes a file for each bucket, so postings go from their texts to the index without a shuffle.
+        postings.sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(f"{self.path}/postings/batch={batch}")
         given.select("doc_id", F.size(F.split("text", "\n")).alias("n_lines"), F.lit(True).alias("live")).write.parquet(f"{self.path}/known/batch={batch}")
 
     def remove(self, ids: DataFrame, batch: int) -> None:
@@ -83,9 +102,12 @@ class TextIndex:
         last = self.spark.read.schema(_KNOWN).parquet(f"{self.path}/known").groupBy("doc_id").agg(F.max(F.struct("batch", "live", "n_lines")).alias("x"))
         return last.where("x.live").select("doc_id", "x.batch", "x.n_lines")
 
-    def postings(self) -> DataFrame:
-        """Postings of the documents that are indexed now."""
-        rows = self.spark.read.schema(_POSTING).option("basePath", f"{self.path}/postings").parquet(f"{self.path}/postings")
+    def _rows(self) -> DataFrame:
+        return self.spark.read.schema(_POSTING).option("basePath", f"{self.path}/postings").parquet(f"{self.path}/postings")
+
+    def postings(self, rows: DataFrame | None = None) -> DataFrame:
+        """Postings of the documents that are indexed now, of all postings or of some."""
+        rows = self._rows() if rows is None else rows
         return rows.join(self.documents().select("doc_id", "batch"), ["doc_id", "batch"])
 
     def frequencies(self, words: list[str]) -> DataFrame:
@@ -153,10 +175,13 @@ class TextIndex:
 
     def lines(self, containing: str | None = None) -> DataFrame:
         """(doc_id, line_no, text): the indexed lines in matching form, put together from postings; only those with a word that contains a string, if one is given."""
-        each = self.postings().select("doc_id", "word", F.explode("places").alias("p"))
+        rows = self._rows()
         if containing is not None:
-            wanted = self.postings().where(F.contains("word", F.lit(containing))).select("doc_id", F.explode("places.line_no").alias("line_no")).distinct()
-            each = each.withColumn("line_no", F.col("p.line_no")).join(wanted, PAIR)
+            # Stored, so that a small table of wanted lines is known to be one and goes to the postings, not these to it.
+            wanted = stored(self.postings().where(F.contains("word", F.lit(containing))).select("doc_id", F.explode("places.line_no").alias("line_no")).distinct())
+            rows = rows.join(wanted.groupBy("doc_id").agg(F.collect_set("line_no").alias("_lines")), "doc_id")
+            rows = rows.withColumn("places", F.filter("places", lambda p: F.array_contains(F.col("_lines"), p["line_no"]))).where(F.size("places") > 0).drop("_lines")
+        each = self.postings(rows).select("doc_id", "word", F.explode("places").alias("p"))
         piece = F.struct(F.col("p.word_no").alias("k"), F.concat(F.when(F.col("p.word_no") == 0, F.col("p.before")).otherwise(""), "word", F.col("p.after")).alias("v"))
         text = F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["v"]), "")
         return each.groupBy("doc_id", F.col("p.line_no").alias("line_no")).agg(text.alias("text"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.operators import search
-from pagemill.operators.text_index import TextIndex
+from pagemill.operators.text_index import TextIndex, _postings
 from pagemill.sources.layout import text_lines
 
 FIRST = [(1, "The cat sat on the  cat\n\n  the end. \tThe"), (2, "Caﬁeld ﬁne café\nnaïve «the» (The)"), (3, None), (None, "the"), (4, ""), (5, "a a a a\naaa aaaa")]
@@ -92,3 +92,19 @@ def test_empty_index(spark, tmp_path):
     made = TextIndex(spark, f"file://{tmp_path}/i")
     made.add(spark.createDataFrame(FIRST, "doc_id long, text string").where(F.lit(False)), 0)
     assert made.substrings("a").count() == 0 and made.whole_words("a").count() == 0 and made.documents().count() == 0
+
+
+def test_places_are_not_shuffled(spark, tmp_path):
+    """Postings are put together where the texts are; a document's places of one word stay one row, whatever the size of the pieces."""
+    docs = spark.createDataFrame([r for r in FIRST if None not in r], "doc_id long, text string")
+    found = _postings(docs, most=3)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = found.collect()
+    assert len({(r.word, r.doc_id) for r in rows}) == len(rows) and sum(len(r.places) for r in rows) == 21
+    assert [tuple(p)[:5] for r in rows if (r.word, r.doc_id) == ("cat", 1) for p in r.places] == [(0, 1, 5, " ", " "), (0, 5, 21, "  ", "")]
+
+
+def test_repeated_ids_are_one_document(spark, tmp_path):
+    made = TextIndex(spark, f"file://{tmp_path}/i", buckets=2)
+    made.add(spark.createDataFrame([(1, "b the"), (1, "a the"), (2, "the the"), (2, None)], "doc_id long, text string"), 0)
+    assert sorted((r.doc_id, r.start) for r in made.whole_words("the").collect()) == [(1, 3), (2, 1), (2, 5)] and made.documents().count() == 2
