@@ -9,6 +9,7 @@ precision; tasks give counts and spanning links of what they find, never pairs.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,6 +23,10 @@ from pagemill.llm.common import stored
 from pagemill.llm.components import connected_components
 
 
+#: About so many blocks of vectors, unless they would take more bytes than this in double precision.
+BLOCKS, BLOCK_BYTES = 16, 64 << 20
+
+
 @dataclass
 class Tree:
     """Nodes level by level: centre, parent, and whether a node is a leaf; leaf nodes have consecutive `leaf` numbers in tree order."""
@@ -131,6 +136,10 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
+def _runs(places: np.ndarray, most: int) -> list[np.ndarray]:
+    return [places[s : s + most] for s in range(0, len(places), most)]
+
+
 def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = 512, block_rows: int = 2048) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for every row of vectors.
 
@@ -139,7 +148,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     their own. Other columns are not read. An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
+    # Single precision travels as it is; what is computed is double.
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("x"))
     good = F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.coalesce(~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(False)) & F.coalesce(F.exists("x", lambda v: v != 0), F.lit(False))
     rows = stored(given.withColumn("good", good))
     reps = stored(rows.where("good").groupBy("x").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
@@ -162,11 +173,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
                 distance = np.linalg.norm(x - centres[leaf], axis=1)
                 yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("weight"), pa.array(leaf.astype(np.int32)), pa.array(distance), part.column("x")], names=["rep", "weight", "leaf", "distance", "x"])
 
-    placed = stored(reps.select("rep", "weight", "x").mapInArrow(place, "rep long, weight long, leaf int, distance double, x array<double>"))
+    placed = stored(reps.select("rep", "weight", "x").mapInArrow(place, f"rep long, weight long, leaf int, distance double, x {kind}"))
     stats = {r.leaf: r for r in placed.groupBy("leaf").agg(F.count("*").alias("n"), F.max("distance").alias("radius")).collect()}
     radius = np.array([stats[i].radius if i in stats else -1.0 for i in range(len(tree.leaves))])
     near = near_leaves(tree, node_radii(tree, radius), reach)
-    # Blocks: runs of leaves in tree order of about block_rows vectors; a larger leaf is dealt by hash over blocks of its own.
+    # Blocks: runs of leaves in tree order of about block_rows vectors; a larger leaf is dealt by hash over blocks of its own. A block goes to each block that it meets, so
+    # in a larger table blocks grow, up to BLOCK_BYTES, instead of the times that a vector travels.
+    block_rows = max(block_rows, min(-(-sum(r.n for r in stats.values()) // BLOCKS), BLOCK_BYTES // (8 * max(dims, 1))))
     places, block, filled = [], -1, block_rows
     for leaf in range(len(tree.leaves)):
         n = stats[leaf].n if leaf in stats else 0
@@ -203,16 +216,21 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
                 l1, l2 = one.field("leaf").to_numpy(), two.field("leaf").to_numpy()
                 n1, n2, at, to = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), [], []
                 for leaf in np.unique(l1):
-                    i, j = np.flatnonzero(l1 == leaf), np.flatnonzero(near[leaf, l2])
-                    linked = x[i] @ y[j].T >= cosine
-                    if same:
-                        linked &= i[:, None] != j[None, :]
-                    a, b = np.nonzero(linked)
-                    n1[i] += linked @ w2[j]
-                    if not same:
-                        n2[j] += w1[i] @ linked
-                    at.append(r1[i[a]])
-                    to.append(r2[j[b]])
+                    own, others = np.flatnonzero(l1 == leaf), np.flatnonzero(near[leaf, l2])
+                    for i, j in itertools.product(_runs(own, 2048), _runs(others, 2048)):
+                        linked = x[i] @ y[j].T >= cosine
+                        if same:
+                            linked &= i[:, None] != j[None, :]
+                        a, b = np.nonzero(linked)
+                        if not len(a):
+                            continue
+                        n1[i] += linked @ w2[j]
+                        if not same:
+                            n2[j] += w1[i] @ linked
+                        # Links that span the same components as all found here.
+                        ids, least = _spanning(r1[i[a]], r2[j[b]])
+                        at.append(ids)
+                        to.append(least)
                 ids, least = _spanning(np.concatenate(at), np.concatenate(to)) if at else (np.zeros(0, np.int64),) * 2
                 linked1, linked2 = n1 > 0, n2 > 0
                 rep = np.concatenate([r1[linked1], r2[linked2], ids])
